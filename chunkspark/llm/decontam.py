@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import extend
+from .shared import extend, small_batches
 
 UNITS = "mm cm m km mg g kg t ml l inch inches foot feet ft yard yards mile miles ounce ounces oz pound pounds lb lbs second seconds minute minutes min hour hours h day days week weeks month months year years dollar dollars usd euro euros eur cent cents percent degrees meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres mph kmh"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
@@ -119,7 +119,7 @@ def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[in
                             ["id", "n", "h", "pos", "slots", "words"],
                         )
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def contaminated(

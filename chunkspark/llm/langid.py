@@ -142,5 +142,5 @@ def identify(
 
         return score
 
-    others = [c for c in keep or [] if c not in (id_col, text_col)]
+    others = [c for c in keep or [] if c != id_col]
     return map_text(df, [id_col, *others], text_col, make, "lang_id string, cosine double, margin double, trigrams bigint, accepted boolean")

@@ -78,14 +78,30 @@ def map_text(df: DataFrame, keep: list[str], text_col: str, make: Callable[[], C
     """Columns that are computed from each text, beside those of ``keep``. make() runs once in a task; what it returns gets a slice of the texts and gives an array for each column of the ddl."""
     head = df.select(*keep)
     names, n = [*head.columns, *StructType.fromDDL(ddl).names], len(keep)
+    at = keep.index(text_col) if text_col in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            texts, parts = K.plain(batch.column(n), lower), []
+            texts, parts = K.plain(batch.column(at), lower), []
             for a, b in K.slices(texts):
                 parts.append([x if isinstance(x, pa.Array) else pa.array(x) for x in f(texts[a:b])])
             if parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.concat_arrays(x) for x in zip(*parts, strict=True))], names)
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, extend(head, ddl))
+    return small_batches(df if at < n else df.select("*", F.col(text_col).alias("__text"))).select(*keep, *["__text"] * (at == n)).mapInArrow(run, extend(head, ddl))
+
+
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, after a lowering of its session's limit on the bytes of an Arrow batch: tasks then need less memory beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(df.sparkSession.conf.get(name)).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
+def stable_order(*columns: pa.ChunkedArray) -> list[int]:
+    """Row numbers, sorted by the columns."""
+    rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
+    return sorted(range(len(rows)), key=rows.__getitem__)

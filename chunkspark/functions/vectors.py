@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,5 +40,13 @@ def hashing_sparse(df: DataFrame, id_col: str, text: Column, dim: int = 256) ->
 
 def dense(df: DataFrame, id_col: str, dim: int = 256) -> DataFrame:
     """Sparse rows (id, idx, v) as (id, vec), arrays of ``dim`` numbers."""
-    packed = df.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))).alias("m"))
-    return packed.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+    @F.pandas_udf("array<double>")
+    def fill(idx: pd.Series, v: pd.Series) -> pd.Series:
+        out = np.zeros((len(idx), dim))
+        if len(idx):
+            out[np.repeat(np.arange(len(idx)), idx.map(len)), np.concatenate(idx.to_numpy())] = np.concatenate(v.to_numpy())
+        return pd.Series(list(out))
+
+    packed = df.groupBy(id_col).agg(F.collect_list(F.struct("idx", "v")).alias("e"))
+    return packed.select(id_col, fill(F.col("e.idx"), F.col("e.v")).alias("vec"))

@@ -125,8 +125,8 @@ def dedup_shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINKED = f"""WITH RECURSIVE {NGRAMS}, {PAIRS},
 both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach AS (SELECT a AS id, a AS at FROM both_ways UNION SELECT r.id, b.b FROM reach r JOIN both_ways b ON r.at = b.a),
-linked AS (SELECT id, min(at) AS root FROM reach GROUP BY id)
+reach AS (SELECT a AS id, a AS node FROM both_ways UNION SELECT r.id, b.b FROM reach r JOIN both_ways b ON r.node = b.a),
+linked AS (SELECT id, min(node) AS root FROM reach GROUP BY id)
 """
 
 

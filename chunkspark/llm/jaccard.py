@@ -18,33 +18,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import map_text, materialize
+from .shared import map_text, materialize, small_batches
 
 WIDTH = 64
 _rng = np.random.default_rng(20170404)
-_MUL, _XOR = _rng.integers(0, 1 << 32, WIDTH, np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, WIDTH, np.uint32)
+_MUL, _XOR = _rng.integers(0, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 1 << 63, WIDTH, np.uint64)
+GRAM_BITS = 44  # wide enough for paths: buckets of unrelated texts must not fill up as the corpus grows
 _STEP, _PICK = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def signatures(rows: int, row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(size, two digests, MinHash tokens) of each row's set, from sorted (row, gram)."""
+def digests(rows: int, row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two digests) of each row's set, from sorted (row, gram)."""
     size = np.bincount(row, minlength=rows)
     there = np.flatnonzero(size)
-    tokens = np.zeros((rows, WIDTH), np.uint16)
     one, two = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
     if len(there):
         start = np.concatenate(([0], np.cumsum(size[there])[:-1]))
-        wide = K.mix(gram.astype(np.uint64) + np.uint64(1))
+        wide = K.mix(gram + np.uint64(1))
         one[there], two[there] = np.add.reduceat(wide, start), np.add.reduceat(K.mix(wide), start)
+    return size, one.view(np.int64), two.view(np.int64)
+
+
+def minima(rows: int, row: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """MinHash values (rows, WIDTH) of each row's set; 0 for an empty one."""
+    values, size = np.zeros((rows, WIDTH), np.uint64), np.bincount(row, minlength=rows)
+    there = np.flatnonzero(size)
+    if len(there):
+        start = np.concatenate(([0], np.cumsum(size[there])[:-1]))
         for i in range(WIDTH):
-            least = np.minimum.reduceat((gram ^ _XOR[i]) * _MUL[i], start)
-            tokens[there, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    return size, one.view(np.int64), two.view(np.int64), tokens
+            values[there, i] = np.minimum.reduceat((gram ^ _XOR[i]) * _MUL[i], start)
+    return K.mix(values.ravel()).reshape(values.shape)
 
 
 def children(key: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(position in key, child's key) of the tokens that are followed from each bucket."""
-    place = np.arange(WIDTH, dtype=np.uint64) << np.uint64(16)
+    """(position in key, child's key) of the tokens that are followed from each bucket; tokens of 16 bits, or wider ones for the roots."""
+    place = np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * WIDTH))))
     out_row, out_key = [], []
     for a in range(0, len(key), 4096):
@@ -188,7 +196,7 @@ def jaccard_join(
     text_col: str = "text",
     threshold: float = 0.5,
     n: int = 3,
-    recall: float = 0.98,
+    recall: float = 0.95,
     slack: float = 0.16,
     limit: int = 64,
     depth: int = 3,
@@ -208,36 +216,39 @@ def jaccard_join(
     """
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
+    runs = runs_for(recall, depth)
+
     def make_signatures():
         def run(texts: pa.Array) -> list:
-            size, one, two, tokens = signatures(len(texts), *K.gram_sets(*K.buffers(texts), n))
-            return [size, one, two, pa.array([t.tobytes() for t in tokens], pa.binary())]
+            row, gram = K.gram_sets(*K.buffers(texts), n, GRAM_BITS)
+            size, one, two = digests(len(texts), row, gram)
+            wide = minima(len(texts), row, gram)
+            found = [children(K.mix(np.full(len(texts), r + 1, np.uint64)), wide, threshold) for r in range(runs)]
+            at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(texts))))).astype(np.int32)
+            paths = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
+            tokens = (wide >> np.uint64(48)).astype(np.uint16)
+            return [size, one, two, pa.array([t.tobytes() for t in tokens], pa.binary()), paths]
 
         return run
 
-    signed = map_text(named, ["id"], "text", make_signatures, "size bigint, one bigint, two bigint, tokens binary").where("size > 0")
-    signed = materialize(signed.groupBy("id").agg(F.min(F.struct("one", "two", "tokens")).alias("s")).select("id", "s.*"), "signatures")
+    signed = map_text(named, ["id"], "text", make_signatures, "size bigint, one bigint, two bigint, tokens binary, paths array<bigint>").where("size > 0")
+    signed = materialize(signed.groupBy("id").agg(F.min(F.struct("one", "two", "tokens", "paths")).alias("s")).select("id", "s.*"), "signatures")
     node = materialize(signed.groupBy("one", "two").agg(F.min("id").alias("node"), F.count("*").alias("members")), "nodes")
     equal = signed.select("id", "one", "two").join(node.where("members > 1"), ["one", "two"]).where("id <> node")
     equal = equal.select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    sets = signed.join(node.select(F.col("node").alias("id"), "one", "two"), ["id", "one", "two"], "left_semi").select("id", "tokens")
-
-    runs = runs_for(recall, depth)
+    nodes = signed.join(node.select(F.col("node").alias("id"), "one", "two"), ["id", "one", "two"], "left_semi")
+    sets = nodes.select("id", "tokens")
 
-    def follow(root: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                ident, tokens = batch.column("id").to_numpy(), _tokens(batch.column("tokens").to_pylist())
-                starts = [K.mix(np.full(len(ident), r + 1, np.uint64)) for r in range(runs)] if root else [batch.column("key").to_numpy().view(np.uint64)]
-                for key in starts:
-                    row, child = children(key, tokens, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ident[row])], ["key", "id"])
-
-        return run
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            row, child = children(batch.column("key").to_numpy().view(np.uint64), _tokens(batch.column("tokens").to_pylist()), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("id").take(pa.array(row))], ["key", "id"])
 
-    level, done = materialize(sets.mapInArrow(follow(True), "key bigint, id bigint"), "paths"), []
+    level, done = materialize(nodes.select(F.explode("paths").alias("key"), "id"), "paths"), []
     for left in range(depth - 1, -1, -1):
         sizes = level.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
         met = materialize(level.join(sizes, "key"), "met")
@@ -245,7 +256,7 @@ def jaccard_join(
         large = met.where(F.col("rows") > bucket_rows)
         if not left or large.isEmpty():
             break
-        level = materialize(large.join(sets, "id").mapInArrow(follow(False), "key bigint, id bigint"), "paths")
+        level = materialize(small_batches(large).join(sets, "id").select("key", "id", "tokens").mapInArrow(follow, "key bigint, id bigint"), "paths")
     buckets = done[0]
     for more in done[1:]:
         buckets = buckets.unionByName(more)
@@ -254,9 +265,9 @@ def jaccard_join(
 
     def make_sets():
         def run(texts: pa.Array) -> list:
-            row, gram = K.gram_sets(*K.buffers(texts), n)
-            _, one, two, _ = signatures(len(texts), row, gram)
-            at = np.searchsorted(row, np.arange(len(texts) + 1))
+            row, gram = K.gram_sets(*K.buffers(texts), n, GRAM_BITS)
+            _, one, two = digests(len(texts), row, gram)
+            gram, at = (gram >> np.uint64(GRAM_BITS - 32)).astype(np.uint32), np.searchsorted(row, np.arange(len(texts) + 1))
             return [one, two, pa.array([gram[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())]
 
         return run

@@ -141,8 +141,8 @@ def grams(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return doc[:m][ok], mix(acc[ok])
 
 
-def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, uint32 hash) of the distinct n-grams, sorted by both; a row of fewer than n words has one gram of all its words."""
+def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash of 32 or 44 bits) of the distinct n-grams, sorted by both; a row of fewer than n words has one gram of all its words."""
     w = words(data, offsets)
     rows = len(offsets) - 1
     doc, g = grams(w.doc, w.hash, n)
@@ -155,8 +155,8 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
             at = np.minimum(first + k, len(w.hash) - 1)
             acc = np.where(k < count[short], acc * _GRAM + w.hash[at] + np.uint64(k + 1), acc)
         doc, g = np.concatenate((doc, short)), np.concatenate((g, mix(acc)))
-    key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32)))
-    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    key = np.unique((doc.astype(np.uint64) << np.uint64(bits)) | (g >> np.uint64(64 - bits)))
+    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.uint32 if bits == 32 else np.uint64)
 
 
 @lru_cache(maxsize=1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import map_text, materialize, small_batches
+from .shared import map_text, materialize, small_batches, small_side
 
 WIDTH = 64
 _rng = np.random.default_rng(20170404)
@@ -273,7 +273,7 @@ def jaccard_join(
         return run
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grams = map_text(named.join(wanted, "id", "left_semi"), ["id"], "text", make_sets, "one bigint, two bigint, gram binary")
+    grams = map_text(named.join(small_side(wanted), "id", "left_semi"), ["id"], "text", make_sets, "one bigint, two bigint, gram binary")
     grams = grams.join(node.select(F.col("node").alias("id"), "one", "two"), ["id", "one", "two"], "left_semi").dropDuplicates(["id"]).select("id", "gram")
     near = _verified(pairs, grams, threshold).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
     return equal.unionByName(near)

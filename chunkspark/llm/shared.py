@@ -105,3 +105,8 @@ def stable_order(*columns: pa.ChunkedArray) -> list[int]:
     """Row numbers, sorted by the columns."""
     rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
     return sorted(range(len(rows)), key=rows.__getitem__)
+
+
+def small_side(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """ids, to be broadcast in a join if it has at most ``most`` rows (some 50 MB); beyond that the join shuffles, with the same result. ids should be written already, or cheap to count."""
+    return F.broadcast(ids) if ids.count() <= most else ids

@@ -122,8 +122,8 @@ def identify(
     and an empty table gives an empty table. Texts of any length are read whole.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), -1)
-    dim = matrix.shape[1] if names else 1024
+    dim = len(prototypes[names[0]]) if names else 1024
+    matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), dim)
 
     def make():
         space = Space(dim, seed)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import map_text, sample_by_hash
+from .shared import map_text, sample_by_hash, stable_order
 
 _SKIP, _PAIR = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -84,9 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not got:
             return
         table = pa.Table.from_batches(got)
-        ids = table["id"].to_numpy()
-        order = np.lexsort((table["text"].to_pylist(), ids))
-        lower, y, features = K.plain(table["text"].take(order)), table["y"].to_numpy()[order], []
+        order = stable_order(table["id"], table["text"])
+        lower, y, features = K.plain(table["text"].take(pa.array(order))), table["y"].to_numpy()[order], []
         for a, b in K.slices(lower):
             doc, code = occurrences(lower[a:b], bits)
             key = np.unique((doc << bits) | code)
@@ -121,5 +120,5 @@ def score(df: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str
 
         return run
 
-    others = [c for c in keep or [] if c not in (id_col, text_col)]
+    others = [c for c in keep or [] if c != id_col]
     return map_text(df, [id_col, *others], text_col, make, "toxicity double, toxic boolean")

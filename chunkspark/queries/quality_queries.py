@@ -91,13 +91,13 @@ k AS (SELECT CAST(split_part(id, ':', 1) AS BIGINT) AS doc_id, id, idx, v FROM s
 total AS (SELECT doc_id, sum(t * t) AS square FROM (SELECT doc_id, idx, sum(v) AS t FROM k GROUP BY ALL) GROUP BY doc_id),
 filled AS (SELECT doc_id, count(DISTINCT id) AS f FROM k GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS m FROM sentences GROUP BY doc_id)
-SELECT doc_id, CASE WHEN coalesce(m, 0) <= 1 THEN 1 ELSE round((coalesce(square, 0) - coalesce(f, 0)) / (m * (m - 1)), 6) END AS coherence
+SELECT doc_id, CASE WHEN coalesce(m, 0) <= 1 THEN 1 ELSE round((coalesce(square, 0) - coalesce(f, 0)) / (m * (m - 1)), 6) + 0.0 END AS coherence
 FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN total USING (doc_id) LEFT JOIN filled USING (doc_id)"""
 
 
 @query(COHERENT)
 def q_embedding_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.embedding_coherence(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.round("coherence", 6).alias("coherence"))
+    return Q.embedding_coherence(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", (F.round("coherence", 6) + 0.0).alias("coherence"))  # no negative zero
 
 
 @query(f"SELECT sha256({NORMAL.format('text')}) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKS = r".,!?;:'\"()\[\]{}"
+MARKS = r"{}()\[\]\"':;?!,."
 TOKEN_COUNT = rf"[{MARKS}]|[^\s{MARKS}]+"
 TOKEN_ALL = rf"((?U)\s+|[{MARKS}]|[^\s{MARKS}]+)"
-SENTENCE_END = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<![A-Z]\.)(?<=[.!?])\s+"
-FENCE = r"(?s)```(\w*)\n(.*?)```"
+_CAPITAL = "[A-Z]"
+#: What a full stop may end without ending a sentence: initials, short titles, abbreviations.
+NO_END = (rf"{_CAPITAL}\.", rf"{_CAPITAL}[a-z]\.", r"\w\.\w.")
+SENTENCE_END = "(?U)(?<=[.!?])" + "".join(f"(?<!{x})" for x in NO_END) + r"\s+"
+FENCE = r"(?s)`{3}(\w*)\n(.*?)`{3}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -15,10 +15,12 @@ from html.parser import HTMLParser
 
 import numpy as np
 
+from ..functions.text import SENTENCE_END, TOKEN_COUNT
+
 Piece = tuple[str, dict]
-_COUNT = re.compile(r"[.,!?;:'\"()\[\]{}]|[^\s.,!?;:'\"()\[\]{}]+")
-_SENTENCE = re.compile(r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<![A-Z]\.)(?<=[.!?])\s+")
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ",", " ", "")
+_COUNT = re.compile(TOKEN_COUNT)
+_SENTENCE = re.compile(SENTENCE_END.removeprefix("(?U)"))
+SEPARATORS = (*("\n" * k for k in (2, 1)), *(f"{mark} " for mark in ".!?;"), ",", " ", "")
 
 
 def count(text: str) -> int:
@@ -74,12 +76,12 @@ def recursive_pieces(text: str, base: int, overlap: int, separators: tuple[str,
     return out
 
 
-def recursive(text: str, base: int = 512, overlap: int = 64, add_start_index: bool = False, **options) -> list[Piece]:
+def recursive(text: str, base: int = 512, overlap: int = 64, *, start_index: bool = False, **options) -> list[Piece]:
     """Recursive separator splitting; blank pieces leave a gap in the numbers."""
     out, at = [], 0
     for i, p in enumerate(recursive_pieces(text, base, overlap, **options)):
         meta = {"index": i}
-        if add_start_index:
+        if start_index:
             found = text.find(p, max(0, at - len(p)))
             at = found + len(p) if found >= 0 else at
             meta["start_index"] = found

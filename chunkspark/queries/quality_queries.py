@@ -22,7 +22,7 @@ def bounded(pattern: str, before: str = rf"(^|[^\pL\pN_])", after: str = rf"($|[
     return f"{before}({pattern}){after}"
 
 
-PRON = bounded("this|that|these|those|it|they|he|she|him|her|them")
+PRON = bounded("them|her|him|she|he|they|it|th(?:is|at|ese|ose)")
 OUT = [bounded(x) for x in ("above", "below", "previously", "following", "as mentioned", "as discussed", r"see [\pL\pN_]+")]
 # "1." and "2." need a word character after them
 FIRST = rf"(^|[^\pL\pN_])((firstly|first)($|[^\pL\pN_])|1\.[\pL\pN_])"
@@ -39,8 +39,8 @@ dense AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, least(1, 0
   + 0.2 * CASE WHEN m > 1 THEN least(1, 2 * std / (mean + 1)) ELSE 0.5::DOUBLE END)) END AS density FROM dw LEFT JOIN lengths USING (doc_id))"""
 EDGES = r"""edges AS (SELECT doc_id, trim(text, E' \n\t\r') AS s FROM documents),
 boundary AS (SELECT doc_id, greatest(0, least(1, 1
-  - CASE WHEN regexp_matches(s, '(?i)^([a-z.,]|(and|but|or|so|then|however|therefore|thus|hence|this|that|these|those|it|they|he|she)($|[^\pL\pN_]))') THEN 0.15::DOUBLE ELSE 0 END
-  - CASE WHEN regexp_matches(s, '([,;:]\s*$)|((^|[^\pL\pN_])(and|or|but|the|a|an)\s*$)|([^.!?"'')\]]\s*$)') THEN 0.15::DOUBLE ELSE 0 END
+  - CASE WHEN regexp_matches(s, '(?i)^([a-z.,]|(she|he|they|it|th(is|at|ese|ose|us|en|erefore)|hence|however|so|or|but|and)($|[^\pL\pN_]))') THEN 0.15::DOUBLE ELSE 0 END
+  - CASE WHEN regexp_matches(s, '([,;:]\s*$)|((^|[^\pL\pN_])(an?|the|but|or|and)\s*$)|([^.!?"'')\]]\s*$)') THEN 0.15::DOUBLE ELSE 0 END
   + CASE WHEN s <> '' AND right(s, 1) IN ('.', '!', '?', '"', '''') THEN 0.1::DOUBLE ELSE 0 END)) AS boundary FROM edges)"""
 SIZED = f"""sized AS (SELECT doc_id, CASE WHEN r BETWEEN 0.7 AND 1.3 THEN 1.0::DOUBLE WHEN r BETWEEN 0.5 AND 1.5 THEN 0.8::DOUBLE WHEN r BETWEEN 0.3 AND 2.0 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS size
   FROM (SELECT doc_id, {COUNT.format("text")} / 512.0::DOUBLE AS r FROM documents))"""
@@ -175,7 +175,6 @@ def overlap_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "i", O.current(F.col("a"), F.col("b")).alias("current"))
 
 
-ENT = r"list_distinct(regexp_extract_all({}, '(^|[^\pL\pN_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 2))"
 SENT_FACTOR = r"""CASE WHEN trim(a, E' \n\t\r') = '' THEN 1.0::DOUBLE WHEN right(trim(a, E' \n\t\r'), 1) NOT IN ('.', '!', '?') THEN 1.5::DOUBLE WHEN regexp_matches(trim(b, E' \n\t\r'), '^\p{Ll}') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END"""
 
 

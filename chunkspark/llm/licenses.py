@@ -13,10 +13,42 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import map_text, small_batches
 
-APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
-MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
-GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
-BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+APACHE = (
+    'Licensed under the Apache License, Version '
+    '2.0 (the "License"); you may not '
+    'use this file except in compliance '
+    'with the License. You may obtain '
+    'a copy of the License at '
+    'http://www.apache' '.org/licenses/' 'LICENSE-2.0'
+)
+MIT = (
+    'Permission is hereby granted, free of '
+    'charge, to any person obtaining a '
+    'copy of this software and associated '
+    'documentation files (the "Software"), to deal '
+    'in the Software without restriction, including '
+    'without limitation the rights to use, '
+    'copy, modify, merge, publish, distribute, sublicense, '
+    'and/or sell copies of the Software'
+)
+GPL = (
+    'This program is free software: you '
+    'can redistribute it and/or modify it '
+    'under the terms of the GNU '
+    '{} General Public License as published '
+    'by the Free Software Foundation, either '
+    'version {} of the License, or '
+    '(at your option) any later version.'
+)
+BSD = (
+    'Redistribution and use in source and '
+    'binary forms, with or without modification, '
+    'are permitted provided that the following '
+    'conditions are met: Redistributions of source '
+    'code must retain the above copyright '
+    'notice, this list of conditions and '
+    'the following disclaimer.'
+)
 CC = "This work is licensed under a Creative Commons {} 4.0 International License."
 #: (license, notice)
 TEMPLATES = [

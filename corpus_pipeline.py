@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chunkspark.llm import decontam, jaccard, langid, packing, quality
 from chunkspark.llm.queries import length_tokens
-from chunkspark.llm.shared import materialize
+from chunkspark.llm.shared import materialize, small_side
 
 
 def _accepted(docs: DataFrame, decide: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
@@ -28,7 +28,9 @@ def _col(name: str) -> Column:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct(), "doc_id", "left_anti").select(*(_col(c) for c in docs.columns))
+    """docs without these ids; their list is written, then broadcast if it is small and shuffled if not."""
+    gone = materialize(ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct(), "ids")
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*(_col(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,4 +212,5 @@ def overlap_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embedding_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed(table(spark, sf_dir, "documents"), HashingEncoder(), "doc_id", "text")
+    """Vectors of whole documents, as in hash_embedding_norm."""
+    return embed(table(spark, sf_dir, "documents"), HashingEncoder(), "doc_id", "text", None)

@@ -16,6 +16,7 @@ from chunkspark.operators.embed import FunctionEncoder, HashingEncoder, embed, g
 from chunkspark.plans.config import Config
 from chunkspark.plans.plan import Plan, plan_id, transform_records
 from chunkspark.plans.tournament import ChunkOptimizer, grid
+from chunkspark.queries import QUERIES
 from chunkspark.sources.cache import TableCache
 from chunkspark.sources.documents import from_table, html_text, load_documents, scalable_fingerprint
 
@@ -129,6 +130,15 @@ def test_embedding(spark):
         get_encoder("nothing")
 
 
+def test_embedding_reads_whole_texts(spark, tmp_path):
+    long = "ab " * 1000 + "end of the text"
+    d = docs(spark, long).withColumnRenamed("id", "chunk_id")
+    assert np.allclose(embed(d, HashingEncoder()).first().vec, S.hashing_vectors([long])[0])
+    assert np.allclose(embed(d, HashingEncoder(), max_chars=1945).first().vec, S.hashing_vectors([long[:1945]])[0])
+    spark.createDataFrame([(1, long)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert np.allclose(QUERIES["embedding_dense"](spark, str(tmp_path)).first().vec, S.hashing_vectors([long])[0])
+
+
 def test_metrics(spark):
     q = spark.createDataFrame([("q", "d", "query", "alpha beta")], "id string, doc_id string, query string, answer_span string")
     c = spark.createDataFrame([("d#1", "d", "nothing"), ("d#2", "D", "x Alpha  beta y")], "chunk_id string, doc_id string, text string")

@@ -2,8 +2,9 @@
 
 Every text gives two streams of tokens: its lower-case words, and its template, where numbers, names (capitalised
 words) and units (after a number) are typed placeholders. Windows of both streams are hash-joined with those of
-the benchmark. Along each alignment of a document with an item, the values that fill the placeholders must map one to
-one; so a question with other numbers and names is caught, and a chance match of templates is not.
+the benchmark. Along each alignment of a document with an item, the names that fill the placeholders must map one to
+one, unless verbatim windows are enough; so a question with other numbers and names is caught, and a chance match of
+templates is not.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def windows(doc: np.ndarray, h: np.ndarray, kind: np.ndarray, size: int, literal
 
 
 def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[int], literals: int, wanted: np.ndarray | None, whole_short: bool) -> DataFrame:
-    """Windows as (id, n, h, pos, slots, words): slots has the words at placeholders, 0 elsewhere, for templates, else null."""
+    """Windows as (id, n, h, pos, slots, words): slots has the words at placeholders, their type in the low two bits, 0 elsewhere, for templates, else null."""
     head = df.select(F.col(id_col).alias("id"))
     schema = extend(head, "n int, h bigint, pos int, slots array<bigint>, words int")
     kinds = pa.list_(pa.int64())
@@ -109,7 +110,7 @@ def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[in
                         at, g = at[there], g[there]
                         if is_template:
                             grid = at[:, None] + np.arange(n)
-                            value = np.where(kind[grid] > 0, h[grid].view(np.int64), 0)
+                            value = np.where(kind[grid] > 0, (h[grid] & ~np.uint64(3) | kind[grid].astype(np.uint64)).view(np.int64), 0)
                             slots = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(value.ravel())).cast(kinds)
                         else:
                             slots = pa.nulls(len(at), kinds)
@@ -137,8 +138,9 @@ def contaminated(
 ) -> DataFrame:
     """Documents that hold a benchmark item: (id, item id, coverage, changed_slots, kind).
 
-    An item counts as held where windows along one alignment cover ``min_coverage`` of its words and the placeholders'
-    values map one to one; ``kind`` is exact, or reparameterised where a value differs. An item of fewer than ``window``
+    An item counts as held where windows along one alignment cover ``min_coverage`` of its words and either windows of
+    words alone do so, or the names in placeholders map one to one (equal numbers and units may be chance, in the item
+    as in the document); ``kind`` is exact, or reparameterised where a value differs. An item of fewer than ``window``
     words is one window; one of fewer than ``min_item`` words, a null or an empty one is never found. One row for each
     document and item, from the alignment of the largest coverage. Documents with null ids, null or empty texts give no
     rows; repeated rows give the rows of one; other columns are ignored; an empty table on either side gives no rows.
@@ -162,17 +164,22 @@ def contaminated(
     theirs = _emit(named, id_col, text_col, window, lengths, literals, wanted, False).drop("words")
     hits = theirs.join(F.broadcast(ours) if small else ours, ["n", "h"])
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
-    along = hits.select("id", "item", "n", "item_pos", "item_words", (F.col("pos") - F.col("item_pos")).alias("shift"), F.coalesce(pairs, F.expr("cast(array() as array<struct<i:bigint,d:bigint>>)")).alias("pairs"))
+    along = hits.select("id", "item", "n", "item_pos", "item_words", (F.col("pos") - F.col("item_pos")).alias("shift"), F.col("item_slots").isNull().alias("exact"), F.coalesce(pairs, F.expr("cast(array() as array<struct<i:bigint,d:bigint>>)")).alias("pairs"))
+    span = F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1)
     runs = along.groupBy("id", "item", "shift").agg(
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1))))).alias("covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(span)))).alias("covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), span))))).alias("verbatim"),
         F.max("item_words").alias("item_words"),
     )
 
+    names = F.filter("pairs", lambda x: x["i"].bitwiseAND(3) == _NAME)
+
     def distinct(side: str) -> Column:
-        return F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
+        return F.size(F.array_distinct(F.transform(names, lambda x: x[side])))
 
-    found = runs.withColumn("coverage", F.col("covered") / F.col("item_words")).where((F.col("coverage") >= min_coverage) & (distinct("i") == F.size("pairs")) & (distinct("d") == F.size("pairs")))
+    one_to_one = (distinct("i") == F.size(names)) & (distinct("d") == F.size(names))
+    found = runs.withColumn("coverage", F.col("covered") / F.col("item_words")).where((F.col("coverage") >= min_coverage) & ((F.col("verbatim") / F.col("item_words") >= min_coverage) | one_to_one))
     changed = F.size(F.filter("pairs", lambda x: x["i"] != x["d"]))
     best = found.withColumn("changed_slots", changed).groupBy("id", "item").agg(F.min_by(F.struct("coverage", "changed_slots"), F.struct(-F.col("coverage"), F.col("changed_slots"), "shift")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.coverage", "b.changed_slots", F.when(F.col("b.changed_slots") == 0, "exact").otherwise("reparameterised").alias("kind"))

@@ -145,6 +145,22 @@ def test_decontamination(spark, edge, empty):
     assert decontam.contaminated(edge, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equal_values(spark):
+    """Values that are equal by chance don't hide verbatim or re-parameterised text."""
+    bench = spark.createDataFrame(
+        [(1, "he bought 3 red apples at the old market near the river and then sold 5 of them to a neighbour"), (2, "she took 2 apples and 2 pears from the old basket under the tree"), (3, "we met Tom and Bob near the old mill where Tom had lived since he was a child with both parents and a dog")],
+        "item_id int, text string",
+    )
+    texts = [
+        "he bought 5 red apples at the old market near the river and then sold 5 of them to a neighbour",
+        "she took 3 apples and 5 pears from the old basket under the tree",
+        "we met Bob and Bob near the old mill where Tom had lived since he was a child with both parents and a dog",
+    ]
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id, r.kind, r.changed_slots) for r in decontam.contaminated(docs(spark, texts), bench, most_windows=most).collect()}
+        assert got == {(0, 1, "reparameterised", 1), (1, 2, "reparameterised", 2), (2, 3, "reparameterised", 1)}
+
+
 def test_decontamination_brute_force(spark):
     items, texts = made(5, 20, 20), made(6, 80, 60)
     for k in range(20):

@@ -161,6 +161,29 @@ def test_decontamination_equal_values(spark):
         assert got == {(0, 1, "reparameterised", 1), (1, 2, "reparameterised", 2), (2, 3, "reparameterised", 1)}
 
 
+def test_decontamination_dense_slots_and_word_counts(spark):
+    """Items with a placeholder in every few words, and values of other word counts in the middle."""
+    bench = spark.createDataFrame(
+        [
+            (1, "Tom has 3 apples, Ann has 4 pears, Bob has 5 plums"),
+            (2, "the mill near the river had sold 1,200 bags of flour before the war came"),
+            (3, "she walked for about 2.5 hours along the road and then saw the big red barn"),
+            (4, "every summer they took the early train to New York and stayed with an old aunt"),
+        ],
+        "item_id int, text string",
+    )
+    texts = [
+        "so Kim has 7 apples, Joe has 2 pears, Eve has 9 plums",
+        "the mill near the river had sold 950 bags of flour before the war came",
+        "she walked for about 3 hours along the road and then saw the big red barn",
+        "every summer they took the early train to Boston and stayed with an old aunt",
+        "so Kim has 7 apples, Joe has 2 pears, Kim has 9 plums",
+    ]
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): (r.kind, r.changed_slots) for r in decontam.contaminated(docs(spark, texts), bench, most_windows=most).collect()}
+        assert got == {(0, 1): ("reparameterised", 6), (1, 2): ("reparameterised", 1), (2, 3): ("reparameterised", 1), (3, 4): ("reparameterised", 1)}
+
+
 def test_decontamination_brute_force(spark):
     items, texts = made(5, 20, 20), made(6, 80, 60)
     for k in range(20):

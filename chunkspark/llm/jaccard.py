@@ -94,12 +94,23 @@ def split_bucket(key: np.uint64, member: np.ndarray, tokens: np.ndarray, thresho
             yield from split_bucket(child[k[0]], left[row[k]], tokens, threshold, least, limit, depth - 1)
 
 
-def runs_for(recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has met with this probability, if every bucket is split ``depth - 1`` times."""
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-meet)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+def chance(runs: int, levels: int, threshold: float, slack: float) -> float:
+    """Probability that a pair at the threshold is found, if it must meet on this many levels: over the spread of its equal tokens, of which it needs ``threshold - slack``."""
+    follow, total = 1 / (threshold * WIDTH), 0.0
+    for k in range(math.ceil((threshold - slack) * WIDTH), WIDTH + 1):
+        meet = 1.0
+        for _ in range(levels):
+            meet = 1 - (1 - follow * meet) ** k
+        total += math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) * (1 - (1 - meet) ** runs)
+    return total
+
+
+def runs_for(recall: float, depth: int, threshold: float = 0.5, slack: float = 0.16) -> int:
+    """Runs after which a pair at the threshold is found with this probability on the deepest path: the root, ``depth - 1`` splits by shuffles and as many within a task."""
+    for runs in range(1, 1000):
+        if chance(runs, 2 * depth - 1, threshold, slack) >= recall:
+            return runs
+    raise ValueError(f"recall {recall} is out of reach with slack {slack}")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -212,11 +223,11 @@ def jaccard_join(
     Rows with null ids and texts without words (null and empty ones too) are in no pair; a text of fewer than n words has
     one gram of all its words. Equal rows count once; of different texts with one id the one with the lowest digest
     counts. Other columns are ignored; an empty table gives an empty table. Buckets over ``bucket_rows`` are split by
-    further shuffles, at most ``depth`` times, smaller ones within a task; buckets left over are compared in full.
+    further shuffles, smaller ones within a task, each at most ``depth - 1`` times; buckets left over are compared in full.
     """
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
-    runs = runs_for(recall, depth)
+    runs = runs_for(recall, depth, threshold, slack)
 
     def make_signatures():
         def run(texts: pa.Array) -> list:

@@ -92,6 +92,24 @@ def test_jaccard_join_brute_force(spark):
     assert len(split & near) >= 0.9 * len(near) and split <= want
 
 
+def test_jaccard_recall_of_the_deepest_path():
+    """Tokens of pairs at the threshold, which must meet on five levels, are found as often as promised."""
+    rng, depth, threshold, slack = np.random.default_rng(8), 3, 0.5, 0.16
+    one = rng.integers(0, 1 << 16, (1500, jaccard.WIDTH)).astype(np.uint16)
+    two = np.where(rng.random(one.shape) < threshold, one, rng.integers(0, 1 << 16, one.shape).astype(np.uint16))
+    near, found = (one == two).mean(axis=1) >= threshold - slack, np.zeros(len(one), bool)
+    for r in range(jaccard.runs_for(0.95, depth)):
+        pair = [np.arange(len(one)), np.arange(len(one))]
+        key = [K.mix(np.full(len(one), r + 1, np.uint64))] * 2
+        for _ in range(2 * depth - 1):
+            for side, tokens in enumerate((one, two)):
+                row, key[side] = jaccard.children(key[side], tokens[pair[side]], threshold)
+                pair[side] = pair[side][row]
+        met = set(zip(pair[0].tolist(), key[0].tolist())) & set(zip(pair[1].tolist(), key[1].tolist()))
+        found[[p for p, _ in met]] = True
+    assert (near & found).mean() >= 0.935  # 0.95, less the spread of 1,500 pairs
+
+
 def test_jaccard_edges(edge, empty):
     assert jaccard.jaccard_join(empty).count() == 0
     assert jaccard.jaccard_join(edge).collect() == []

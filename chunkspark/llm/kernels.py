@@ -2,7 +2,8 @@
 
 A *word* is a maximal run of ASCII letters and digits and of bytes from 0x80 on; every
 character of the wide scripts (lead byte 0xE3 to 0xED or 0xF0 on) is a word of its own.
-Texts are split in blocks of about ``BLOCK`` bytes, so that memory doesn't follow the batch.
+Texts are split in blocks of about ``BLOCK`` bytes, so that memory doesn't follow the batch; one long text is
+worked on in parts where a kernel says so.
 """
 
 from __future__ import annotations
@@ -85,9 +86,9 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """All words of the rows, in order."""
-    n, b0, parts = len(data), 0, []
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[Words]:
+    """All words of the rows, in order, those of about ``BLOCK`` bytes at once; no word is cut."""
+    n, b0 = len(data), 0
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     while b0 < n:
@@ -114,13 +115,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
         sums = np.zeros(len(d) + 1, np.uint64)
         np.cumsum((d.astype(np.uint64) + np.uint64(1)) * power[: len(d)], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * inverse[starts])
-        parts.append((h, starts + b0, ends + b0))
+        yield Words(np.searchsorted(offsets, starts + b0, "right") - 1, h, starts + b0, ends + b0)
         b0 = b1
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """All words of the rows, in order."""
+    parts = list(word_parts(data, offsets))
     if not parts:
         empty = np.zeros(0, np.int64)
         return Words(empty, empty.astype(np.uint64), empty, empty)
-    h, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Words(np.searchsorted(offsets, starts, "right") - 1, h, starts, ends)
+    return parts[0] if len(parts) == 1 else Words(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def is_long(texts: pa.Array) -> bool:
+    """Whether this slice is one text of several blocks, to be worked on in parts."""
+    return len(texts) == 1 and len(buffers(texts)[0]) > 2 * BLOCK
+
+
+def hash_parts(texts: pa.Array, before: int) -> Iterator[np.ndarray]:
+    """Word hashes of one long text in parts, each led by the last ``before`` ones of those before it."""
+    tail = np.zeros(0, np.uint64)
+    for w in word_parts(*buffers(texts)):
+        h = np.concatenate((tail, w.hash))
+        yield h
+        tail = h[max(0, len(h) - before) :] if before else h[:0]
 
 
 def word_hash(word: str) -> int:
@@ -143,19 +162,28 @@ def grams(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash of 32 or 44 bits) of the distinct n-grams, sorted by both; a row of fewer than n words has one gram of all its words."""
-    w = words(data, offsets)
-    rows = len(offsets) - 1
-    doc, g = grams(w.doc, w.hash, n)
-    count = np.bincount(w.doc, minlength=rows)
-    short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        first = np.searchsorted(w.doc, short)
-        acc = np.zeros(len(short), np.uint64)
+    rows, found = len(offsets) - 1, []
+    tail = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    count, short = np.zeros(rows, np.int64), []
+    for w in word_parts(data, offsets):
+        count += np.bincount(w.doc, minlength=rows)
+        doc, h = np.concatenate((tail[0], w.doc)), np.concatenate((tail[1], w.hash))
+        row, g = grams(doc, h, n)
+        found.append(np.unique((row.astype(np.uint64) << np.uint64(bits)) | (g >> np.uint64(64 - bits))))
+        if rows > 1 or count[0] - len(w.hash) < n:  # the words of rows that may have few
+            short.append((w.doc, w.hash))
+        keep = max(0, len(h) - n + 1)
+        tail = doc[keep:], h[keep:]
+    few = np.flatnonzero((count > 0) & (count < n))
+    if len(few):
+        doc, h = (np.concatenate(x) for x in zip(*short, strict=True))
+        first = np.searchsorted(doc, few)
+        acc = np.zeros(len(few), np.uint64)
         for k in range(n - 1):
-            at = np.minimum(first + k, len(w.hash) - 1)
-            acc = np.where(k < count[short], acc * _GRAM + w.hash[at] + np.uint64(k + 1), acc)
-        doc, g = np.concatenate((doc, short)), np.concatenate((g, mix(acc)))
-    key = np.unique((doc.astype(np.uint64) << np.uint64(bits)) | (g >> np.uint64(64 - bits)))
+            at = np.minimum(first + k, len(h) - 1)
+            acc = np.where(k < count[few], acc * _GRAM + h[at] + np.uint64(k + 1), acc)
+        found.append((few.astype(np.uint64) << np.uint64(bits)) | (mix(acc) >> np.uint64(64 - bits)))
+    key = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.uint32 if bits == 32 else np.uint64)
 
 
@@ -180,3 +208,16 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep = sym > 0
     keep[1:] |= sym[:-1] > 0
     return doc[keep], sym[keep]
+
+
+def letter_parts(text: pa.Array) -> Iterator[np.ndarray]:
+    """The symbols that ``letters`` gives for one lower-case text, in parts."""
+    data, _ = buffers(text)
+    a, before = 0, 0
+    while a < len(data):
+        b = min(len(data), a + BLOCK)
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        sym = letter_table()[np.frombuffer(data[a:b].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+        yield sym[(sym > 0) | (np.concatenate(([before], sym[:-1])) > 0)]
+        a, before = b, int(sym[-1])

@@ -10,8 +10,7 @@ from contextlib import suppress
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -63,6 +62,11 @@ def _clean() -> None:
                 drop(path, spark)
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def sample_by_hash(df: DataFrame, by: list[str], key: str, most: int, seed: int = 0) -> DataFrame:
     """At most ``most`` rows of each group, those with the lowest hash of the key: the same rows however the input is partitioned."""
     order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
@@ -76,20 +80,19 @@ def extend(df: DataFrame, ddl: str) -> StructType:
 
 def map_text(df: DataFrame, keep: list[str], text_col: str, make: Callable[[], Callable[[pa.Array], list]], ddl: str, lower: bool = True) -> DataFrame:
     """Columns that are computed from each text, beside those of ``keep``. make() runs once in a task; what it returns gets a slice of the texts and gives an array for each column of the ddl."""
-    head = df.select(*keep)
+    head = df.select(*map(quoted, keep))
     names, n = [*head.columns, *StructType.fromDDL(ddl).names], len(keep)
     at = keep.index(text_col) if text_col in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            texts, parts = K.plain(batch.column(at), lower), []
+            texts = K.plain(batch.column(at), lower)
             for a, b in K.slices(texts):
-                parts.append([x if isinstance(x, pa.Array) else pa.array(x) for x in f(texts[a:b])])
-            if parts:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.concat_arrays(x) for x in zip(*parts, strict=True))], names)
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), *made], names)
 
-    return small_batches(df if at < n else df.select("*", F.col(text_col).alias("__text"))).select(*keep, *["__text"] * (at == n)).mapInArrow(run, extend(head, ddl))
+    return small_batches(df).select(*map(quoted, keep), *[quoted(text_col)] * (at == n)).mapInArrow(run, extend(head, ddl))
 
 
 def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_text, materialize
+from .shared import map_text, materialize, quoted, small_side
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SAFE = re.compile(r"\S(?= \S)")
 CACHE = "tokenizer string, digest binary, tokens bigint"
 
 
@@ -40,7 +43,9 @@ class Tokenizer:
             with open(self.path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             own = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-            return lambda texts: [len(own.encode_ordinary(t)) for t in texts]
+            if self.pattern != PATTERN:
+                return lambda texts: [len(own.encode_ordinary(t)) for t in texts]
+            return lambda texts: [sum(len(own.encode_ordinary(p)) for p in safe_pieces(t)) for t in texts]
         if self.kind == "tokenizers":
             from tokenizers import Tokenizer as Loaded
 
@@ -55,6 +60,18 @@ class Tokenizer:
         raise ValueError(f"unknown kind of tokenizer: {self.kind}")
 
 
+def safe_pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """The text in pieces of about ``most`` characters, cut where PATTERN starts a token in any case: before a single blank between two characters that aren't white space."""
+    start = 0
+    while len(text) - start > most:
+        cut = SAFE.search(text, start + most - 1)
+        if cut is None:
+            break
+        yield text[start : cut.start() + 1]
+        start = cut.start() + 1
+    yield text[start:]
+
+
 def normalised(text: Column) -> Column:
     """Content without byte-order mark and with line feeds alone as line ends."""
     return F.replace(F.replace(F.replace(text, F.lit("﻿"), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -73,26 +90,43 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str, id_col: str
 
     A null text has a null digest and null tokens; an empty one has 0. Every row gives a row: null ids and repeated rows
     stay, rows of equal content share one count, other columns are ignored; an empty table gives an empty table and leaves
-    the cache as it is. Texts of any length are encoded whole.
+    the cache as it is. Texts of any length are encoded whole. One text is encoded for each digest that the cache lacks, that of the lowest id.
+
+    Up to a million missing digests travel to the texts, which then aren't shuffled; more are joined by a shuffle.
     """
     spark, version = docs.sparkSession, tokenizer.version()
-    text = normalised(F.col(text_col))
-    keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    text = normalised(quoted(text_col))
+    keyed = docs.select(quoted(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
     thin = materialize(keyed, "digests")
     stored = read_cache(spark, cache, version)
-    first = thin.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
-    missing = first.join(stored, "digest", "left_anti")
-    # (digest, id) spreads the copies of one text over all partitions; only one of them passes
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    same = (texts["digest"] == missing["digest"]) & texts["id"].eqNullSafe(missing["id"])
-
-    def make():
-        count = tokenizer.counter()
-        return lambda t: [pa.array(count(t.to_pylist()), pa.int64())]
-
-    encoded = map_text(texts.join(missing, same, "left_semi"), ["digest"], "text", make, "tokens bigint", lower=False)
-    fresh = materialize(encoded.groupBy("digest").agg(F.max("tokens").alias("tokens")), "counts")
+    each = thin.where("digest is not null").groupBy("digest", "id").agg(F.count("*").alias("n"))
+    first = each.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "n")).alias("f")).select("digest", "f.id", "f.n")
+    missing = materialize(first.join(stored, "digest", "left_anti"), "missing")
+    texts = docs.select(quoted(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+    def of(wanted: DataFrame) -> DataFrame:
+        wanted = small_side(wanted.select("digest", "id"), 1_000_000)
+        return texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["id"].eqNullSafe(wanted["id"]), "left_semi").select("digest", "text")
+
+    picked, repeated = of(missing.where("n = 1")), missing.where("n > 1")
+    if not repeated.isEmpty():  # rows of one id and text: any of them will do
+        picked = picked.unionByName(of(repeated).groupBy("digest").agg(F.min("text").alias("text")))
+    encoded = map_text(picked, ["digest"], "text", lambda: _encode(tokenizer), "tokens bigint", lower=False)
+    fresh = materialize(encoded, "counts")
     known = stored.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
-    known = materialize(known, "known")  # before the append: the cache that this call found
+    known = materialize(known.join(thin.select("digest").distinct(), "digest", "left_semi"), "known")  # before the append: the cache that this call found
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "tokens").write.mode("append").parquet(cache)
     return thin.join(known, "digest", "left").select(F.col("id").alias(id_col), F.lower(F.hex("digest")).alias("digest"), "tokens", "cached")
+
+
+def _encode(tokenizer: Tokenizer) -> Callable[[pa.Array], list]:
+    count = tokenizer.counter()
+    return lambda texts: [pa.array(count(texts.to_pylist()), pa.int64())]
+
+
+def direct_counts(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tokens) of every row in one pass, without a cache or a shuffle; a null text has null tokens."""
+
+    named = docs.select(quoted(id_col).alias("id"), normalised(quoted(text_col)).alias("text")).withColumn("null", F.col("text").isNull())
+    counted = map_text(named, ["id", "null"], "text", lambda: _encode(tokenizer), "tokens bigint", lower=False)
+    return counted.select(F.col("id").alias(id_col), F.when(~F.col("null"), F.col("tokens")).alias("tokens"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, quoted
+
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     """Window of each item: Karmarkar-Karp differencing into k near-equal windows. Ties go by position."""
@@ -73,32 +75,41 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         fullest = np.bincount(window, weights=sizes).max()
         if fullest <= capacity:
             return window
-        k += max(1, int(k * (fullest - capacity) / capacity / 4))
+        # as many windows as fit if the fullest is as far above the mean again; one more at least
+        k = max(k + 1, -(-int(sizes.sum()) // max(1, int(capacity - fullest + sizes.sum() / k))))
 
 
 def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", capacity: int = 2048, shard_rows: int = 2048) -> DataFrame:
     """Windows of at most ``capacity`` tokens: (id, piece, start, tokens, window_id, window_tokens).
 
-    ``tokens`` gives a text's length; null counts as 0. A text beyond the capacity is cut: its full pieces are windows
+    ``tokens`` gives a text's length; null counts as 0. The row stands for the text's tokens from number ``start`` on,
+    ``tokens`` of them, in the tokenizer that counted them. A text beyond the capacity is cut: its full pieces are windows
     of their own, the rest is packed. Every row is in the result: empty texts take a window's place without tokens, null
-    ids stay, repeated rows are packed each. Equal lengths are ordered by id. Other columns are ignored; an empty
-    table gives an empty table. Shards hold about ``shard_rows`` texts at any table size, so tasks never grow.
+    ids stay, repeated rows are packed each. Equal lengths are ordered by id, piece and number of the repeated row. Other
+    columns are ignored; an empty table gives an empty table.
+
+    Rows are dealt into shards of about ``shard_rows`` texts by hash of id, length and number among the rows
+    that are equal in both, so that null ids and repeated rows spread too and tasks never grow.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("n"))
-    shards = max(1, -(-sized.select("id").count() // shard_rows))
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))))
-    pieces = pieces.withColumn("start", F.col("piece").cast("bigint") * capacity).withColumn("tokens", F.least(F.lit(capacity), F.col("n") - F.col("start"))).drop("n")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    sized = materialize(docs.select(quoted(id_col).alias("id"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("n")), "sizes")
+    shards = max(1, -(-sized.count() // shard_rows))
+    each = sized.groupBy("id", "n").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    each = each.withColumn("shard", F.pmod(F.xxhash64("id", "n", "copy"), F.lit(shards)))
+    pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))))
+    pieces = pieces.withColumn("start", F.col("piece").cast("bigint") * capacity).withColumn("tokens", F.least(F.lit(capacity), F.col("n") - F.col("start")))
+    pieces = pieces.select("id", "copy", "shard", "piece", "start", "tokens")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["tokens", "id", "piece", "copy"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         size = pdf["tokens"].to_numpy(np.int64)
         full = size == capacity
         window = np.arange(len(size), dtype=np.int64)
         window[~full] = full.sum() + pack_sizes(size[~full], capacity)
         total = np.bincount(window, weights=size).astype(np.int64)
-        return pdf.drop(columns="shard").assign(window_id=(int(key[0]) << 32) + window, window_tokens=total[window])
+        return pdf.drop(columns=["shard", "copy"]).assign(window_id=(int(key[0]) << 32) + window, window_tokens=total[window])
 
     kind = sized.schema["id"].dataType.simpleString()
-    packed = pieces.groupBy("shard").applyInPandas(run, f"id {kind}, piece int, start bigint, tokens bigint, window_id bigint, window_tokens bigint")
+    # rows are few bytes and much work: partitions by number, which aren't merged by their bytes
+    spread = pieces.repartition(min(shards, 64 + shards // 64), "shard")
+    packed = spread.groupBy("shard").applyInPandas(run, f"id {kind}, piece int, start bigint, tokens bigint, window_id bigint, window_tokens bigint")
     return packed.withColumnRenamed("id", id_col)

@@ -1,9 +1,10 @@
-"""License scans: sparse TF-IDF cosine of lines, blocks and files to license notices, then inheritance along paths."""
+"""License scans: sparse TF-IDF cosine of lines, blocks, windows of lines and files to license notices, then inheritance along paths."""
 
 from __future__ import annotations
 
-from collections import Counter
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,72 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import map_text, small_batches
-
-APACHE = (
-    'Licensed under the Apache License, Version '
-    '2.0 (the "License"); you may not '
-    'use this file except in compliance '
-    'with the License. You may obtain '
-    'a copy of the License at '
-    'http://www.apache' '.org/licenses/' 'LICENSE-2.0'
-)
-MIT = (
-    'Permission is hereby granted, free of '
-    'charge, to any person obtaining a '
-    'copy of this software and associated '
-    'documentation files (the "Software"), to deal '
-    'in the Software without restriction, including '
-    'without limitation the rights to use, '
-    'copy, modify, merge, publish, distribute, sublicense, '
-    'and/or sell copies of the Software'
-)
-GPL = (
-    'This program is free software: you '
-    'can redistribute it and/or modify it '
-    'under the terms of the GNU '
-    '{} General Public License as published '
-    'by the Free Software Foundation, either '
-    'version {} of the License, or '
-    '(at your option) any later version.'
-)
-BSD = (
-    'Redistribution and use in source and '
-    'binary forms, with or without modification, '
-    'are permitted provided that the following '
-    'conditions are met: Redistributions of source '
-    'code must retain the above copyright '
-    'notice, this list of conditions and '
-    'the following disclaimer.'
-)
-CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+from .shared import map_text, materialize, quoted, small_batches, small_side
+
+_DATA = json.loads(Path(__file__).with_name("licenses.json").read_text(encoding="utf-8"))
+EXACT = 0.97  # the cosine that identifiers need: those of other licenses differ in a word or two
 #: (license, notice)
-TEMPLATES = [
-    ("Apache-2.0", APACHE),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("BSD-3-Clause", BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
-    ("BSD-2-Clause", BSD),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", CC.format("Attribution")),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", CC.format("Attribution-NonCommercial")),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", CC.format("Attribution-ShareAlike")),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under the CC0 1.0 Universal public domain dedication."),
-    ("GPL-2.0", GPL.format("", "2")),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", GPL.format("", "3")),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", GPL.format("Lesser", "3")),
-    ("MIT", MIT),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-]
+TEMPLATES = [(name, text) for name, notices in _DATA["notices"].items() for text in notices]
+#: SPDX lines, which count only where nothing but comment marks and the like differs
+IDENTIFIERS = [(name, f"SPDX-License-Identifier: {name}") for name in _DATA["identifiers"]]
+WINDOWS = (4, 8, 16, 32)  # lines
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
 
 
@@ -115,86 +59,141 @@ def document_frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> t
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.append(total[word[:-1]], rows))], ["word", "n"])
 
     df = np.zeros(len(vocab) + 1, np.int64)
-    for r in small_batches(docs).select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row for each vocabulary word
+    for r in small_batches(docs).select(quoted(text_col).cast("string").alias("t")).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row for each vocabulary word
         df[r.word] = r.n
     return int(df[-1]), df[:-1]
 
 
-def best_notice(docs: DataFrame, keep: list[str], text_col: str, templates: list[tuple[str, str]], floor: float) -> DataFrame:
-    """Best license and its cosine for each text, over its lines, its blocks between blank lines, and the whole of it."""
-    templates = sorted(templates)
-    vocab = vocabulary(templates)
+class Scorer:
+    """TF-IDF cosines of segments of texts to the templates. A segment's words outside the vocabulary count with ``other``."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: np.ndarray, vocab: np.ndarray, idf: np.ndarray, other: float):
+        self.names, self.least, self.vocab, self.idf, self.other = [x for x, _ in templates], least, vocab, idf, other
+        self.parts = []  # (words, weights) of each template
+        for h in _words([x for _, x in templates]):
+            word, times = np.unique(_look(h, vocab), return_counts=True)
+            value = times * idf[word]
+            self.parts.append((word, value / max(np.linalg.norm(value), 1e-12)))
+        self.floor = float(least.min()) if len(least) else 2.0
+
+    def best(self, seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, cosine, template) of the segments that reach a template's floor: the best one of each; seg is the rising number of each word's segment, at its word or -1."""
+        count, inside, n = int(seg[-1]) + 1, at >= 0, len(self.vocab)
+        key, times = np.unique(seg[inside] * n + at[inside], return_counts=True)
+        s, word = key // n, key % n
+        value = times * self.idf[word]
+        own = np.bincount(s, weights=value**2, minlength=count)
+        norm = np.sqrt(own + self.other**2 * np.bincount(seg[~inside], minlength=count))
+        able = np.sqrt(own) >= self.floor * norm - 1e-9  # no cosine is above the vocabulary's share
+        able &= own > 0
+        left = able[s]
+        s, word, value, which = s[left], word[left], value[left], np.flatnonzero(able)
+        place = np.cumsum(able) - 1
+        s = place[s]
+        top, found = np.zeros(len(which)), np.full(len(which), -1)
+        for t, (words, weights) in enumerate(self.parts):
+            if not len(which):
+                break
+            weight = np.zeros(n)
+            weight[words] = weights
+            w = weight[word]
+            there = w > 0
+            c = np.bincount(s[there], weights=value[there] * w[there], minlength=len(which)) / np.maximum(norm[which], 1e-12)
+            better = (c > top + 1e-9) & (c >= self.least[t] - 1e-9)
+            top, found = np.where(better, c, top), np.where(better, t, found)
+        ok = found >= 0
+        return which[ok], top[ok], found[ok]
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, template or -1) of the best segment of each lower-case text: its lines, its blocks between lines without words, the whole, and windows of lines that overlap by half."""
+        data, offsets = K.buffers(texts)
+        w = K.words(data, offsets)
+        rows = len(texts)
+        top, which = np.zeros(rows), np.full(rows, -1)
+        if not len(w.hash) or not self.names:
+            return top, which
+        line = np.concatenate(([0], np.cumsum(data == 10)))[w.start]
+        at = _look(w.hash, self.vocab)
+        fresh = np.concatenate(([True], w.doc[1:] != w.doc[:-1]))
+        step = np.concatenate(([0], np.diff(line)))
+        line -= np.repeat(line[fresh], np.diff(np.append(np.flatnonzero(fresh), len(line))))  # within the text
+
+        def offer(new: np.ndarray, picked: np.ndarray | None = None) -> None:
+            nonlocal top, which
+            mine = at if picked is None else at[picked]
+            doc = w.doc if picked is None else w.doc[picked]
+            seg = np.cumsum(new) - 1
+            s, cosine, t = self.best(seg, mine)
+            row = doc[np.flatnonzero(new)][s]
+            order = np.lexsort((-t, cosine))  # the best is written last, of equal ones the first template
+            high, pick = np.zeros(rows), np.full(rows, -1)
+            high[row[order]], pick[row[order]] = cosine[order], t[order]
+            better = high > top + 1e-9
+            top, which = np.where(better, high, top), np.where(better, pick, which)
+
+        offer(fresh | (step > 0))
+        offer(fresh | (step > 1))
+        offer(fresh)
+        rich = np.bincount(w.doc[at >= 0], minlength=rows) >= 12  # windows are for notices of several lines
+        picked = np.flatnonzero(rich[w.doc])
+        if len(picked):
+            first, mine = fresh[picked], line[picked]
+            for size in WINDOWS:
+                for shift in (0, size // 2):
+                    number = (mine + shift) // size
+                    offer(first | np.concatenate(([True], number[1:] != number[:-1])), picked)
+        return np.round(top, 9), which
+
+
+def scorer(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], identifiers: list[tuple[str, str]], floor: float) -> Scorer:
+    """Templates with idf from the whole table."""
+    both = sorted([(name, text, floor) for name, text in templates] + [(name, text, max(floor, EXACT)) for name, text in identifiers])
+    named = [(name, text) for name, text, _ in both]
+    vocab = vocabulary(named)
     n, df = document_frequencies(docs, text_col, vocab)
     idf = np.log((1 + n) / (1 + df)) + 1
     other = float(np.median(idf)) if len(idf) else 1.0  # for words outside the vocabulary
-    matrix = np.zeros((len(vocab), len(templates)))
-    for t, h in enumerate(_words([x for _, x in templates])):
-        for word, times in Counter(_look(h, vocab).tolist()).items():
-            matrix[word, t] = times * idf[word]
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=0), 1e-12)
-    names = [x for x, _ in templates]
+    return Scorer(named, np.array([x for *_, x in both]), vocab, idf, other)
+
+
+def best_notice(docs: DataFrame, keep: list[str], text_col: str, scores: Scorer) -> DataFrame:
+    """Best license and its cosine for each text; null and 0 where no segment reaches a template's floor."""
 
     def make():
         def run(texts: pa.Array) -> list:
-            data, offsets = K.buffers(texts)
-            w = K.words(data, offsets)
-            rows = len(texts)
-            top, which = np.zeros(rows), np.zeros(rows, np.int64)
-            if len(w.hash) and names:
-                feed = data == 10
-                line = np.concatenate(([0], np.cumsum(feed)))[w.start] + w.doc  # rises at each line feed and each text
-                blank = feed & np.concatenate((feed[1:], [False]))
-                block = np.concatenate(([0], np.cumsum(blank)))[w.start] + w.doc
-                at = _look(w.hash, vocab)
-                for segment in (line, block, w.doc):
-                    start = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-                    seg = np.cumsum(np.concatenate(([0], segment[1:] != segment[:-1])))
-                    inside = at >= 0
-                    key, times = np.unique(seg[inside] * len(vocab) + at[inside], return_counts=True)
-                    s, word = key // len(vocab), key % len(vocab)
-                    value = times * idf[word]
-                    norm = np.sqrt(np.bincount(s, weights=value**2, minlength=len(start)) + other**2 * np.bincount(seg[~inside], minlength=len(start)))
-                    cosine = np.zeros(len(start))
-                    found = np.zeros(len(start), np.int64)
-                    for t in range(len(names)):
-                        c = np.bincount(s, weights=value * matrix[word, t], minlength=len(start)) / np.maximum(norm, 1e-12)
-                        better = c > cosine + 1e-9
-                        cosine, found = np.where(better, c, cosine), np.where(better, t, found)
-                    order = np.argsort(cosine, kind="stable")  # the best segment of a row is written last
-                    row = w.doc[start][order]
-                    high = np.zeros(rows)
-                    high[row], pick = cosine[order], np.zeros(rows, np.int64)
-                    pick[row] = found[order]
-                    better = high > top + 1e-9
-                    top, which = np.where(better, high, top), np.where(better, pick, which)
-            top = np.round(top, 9)
-            return [pa.array([names[k] if ok else None for k, ok in zip(which, top >= floor, strict=True)], pa.string()), top]
+            top, which = scores.score(texts)
+            return [pa.array([scores.names[k] if k >= 0 else None for k in which], pa.string()), top]
 
         return run
 
     return map_text(docs, keep, text_col, make, "own string, cosine double")
 
 
-def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.6, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(
+    files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.6, templates: list[tuple[str, str]] | None = None, identifiers: list[tuple[str, str]] | None = None
+) -> DataFrame:
     """License of every file: (id, path, license, cosine, origin).
 
-    ``origin`` is own where a line, block or the whole text reaches the cosine ``floor`` to a notice; inherited where the
-    nearest directory above (its own included) has a license file (LICENSE, COPYING, NOTICE and the like by name) with an
-    own license; otherwise null, as is the license. Of several license files in one directory the best cosine counts, then
+    ``origin`` is own where a line, a block, a window of lines or the whole text reaches the cosine ``floor`` to a notice
+    (or 0.97 to an SPDX line); inherited where the nearest directory above (its own included) has a license file
+    (LICENSE, COPYING, NOTICE and the like by name) with an own license; otherwise null, as is the license. ``cosine`` is
+    that of the own license, else 0. Of several license files in one directory the best cosine counts, then
     the first license by name. A null or empty text has cosine 0 and can inherit; a null path inherits nothing. Every row
     stays: null ids and repeated rows too; other columns are ignored; an empty table gives an empty table. A segment with
-    several notices has the license of the best one, ties to the first by name. Texts are read whole.
+    several notices has the license of the best one, ties to the first by name. Texts are read whole and scored once.
     """
-    placed = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text"))
-    found = best_notice(placed, ["id", "path"], "text", TEMPLATES if templates is None else templates, floor)
+    placed = files.select(quoted(id_col).alias("id"), path.alias("path"), quoted(text_col).alias("text"))
+    scores = scorer(placed, "text", TEMPLATES if templates is None else templates, IDENTIFIERS if templates is None and identifiers is None else identifiers or [], floor)
+    found = best_notice(placed, ["id", "path"], "text", scores)
     parts = F.split("path", "/")
-    found = found.withColumn("dir", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))
+    found = materialize(found.withColumn("dir", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")), "notices")
     owners = found.where(F.col("own").isNotNull() & F.element_at(parts, -1).rlike(LICENSE_FILE))
-    owners = owners.groupBy("dir").agg(F.min_by("own", F.struct(-F.col("cosine"), "own")).alias("inherited"))
+    owners = materialize(owners.groupBy("dir").agg(F.min_by("own", F.struct(-F.col("cosine"), "own")).alias("inherited")), "owners")
     steps = F.split("dir", "/")
-    above = placed.select(F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/").alias("dir")).where("dir is not null").distinct()
+    above = found.select("dir").where("dir is not null").distinct()
     above = above.select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).withColumn("above", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
-    nearest = above.join(owners.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by("inherited", "depth").alias("inherited"))
-    out = found.join(nearest, "dir", "left")
+    nearest = above.join(small_side(owners.withColumnRenamed("dir", "above"), 500_000), "above").groupBy("dir").agg(F.max_by("inherited", "depth").alias("inherited"))
+    # few directories hold most files: their list is counted and travels to the rows
+    out = found.join(small_side(materialize(nearest, "nearest"), 500_000), "dir", "left")
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited")
     return out.select(F.col("id").alias(id_col), "path", F.coalesce("own", "inherited").alias("license"), "cosine", origin.alias("origin"))

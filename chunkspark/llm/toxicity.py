@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import map_text, sample_by_hash, stable_order
+from .shared import map_text, quoted, sample_by_hash, stable_order
 
 _SKIP, _PAIR = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -31,16 +31,33 @@ class Weights:
     bits: int
 
 
-def occurrences(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every word, pair and skip pair of lower-case texts; not distinct."""
-    w = K.words(*K.buffers(texts))
-    doc, code, shift = [w.doc], [w.hash], np.uint64(64 - bits)
+def _codes(h: np.ndarray, doc: np.ndarray | None, bits: int) -> tuple[np.ndarray | None, np.ndarray]:
+    docs, code = [doc], [h]
     for gap, salt in ((1, _PAIR), (2, _SKIP)):
-        if len(w.hash) > gap:
-            ok = w.doc[gap:] == w.doc[:-gap]
-            doc.append(w.doc[gap:][ok])
-            code.append(K.mix(w.hash[:-gap][ok] * salt + w.hash[gap:][ok]))
-    return np.concatenate(doc), (np.concatenate(code) >> shift).astype(np.int64)
+        if len(h) > gap:
+            pair = K.mix(h[:-gap] * salt + h[gap:])
+            if doc is not None:
+                ok = doc[gap:] == doc[:-gap]
+                docs.append(doc[gap:][ok])
+                pair = pair[ok]
+            code.append(pair)
+    return None if doc is None else np.concatenate(docs), (np.concatenate(code) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def occurrences(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every word, pair and skip pair of lower-case texts, of those only for which ``wanted`` is not 0; not distinct."""
+    if K.is_long(texts):
+        seen = np.zeros(1 << bits, bool)
+        for h in K.hash_parts(texts, 2):
+            seen[_codes(h, None, bits)[1]] = True
+        code = np.flatnonzero(seen if wanted is None else seen & (wanted != 0))
+        return np.zeros(len(code), np.int64), code
+    w = K.words(*K.buffers(texts))
+    doc, code = _codes(w.hash, w.doc, bits)
+    if wanted is not None:
+        there = wanted[code] != 0
+        doc, code = doc[there], code[there]
+    return doc, code
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int, alpha: float = 0.2, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = 2) -> Weights:
@@ -71,13 +88,14 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int, alpha: float = 0.2, b
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 6000, bits: int = 20, seed: int = 5, **training: float) -> Weights:
     """Train on at most ``rows`` labelled texts, half of them of each label as far as there are so many (a bound on fitting only).
 
-    Rows with a null id, text or label are left out; an id that has both labels counts as toxic. Without labelled texts
+    Rows with a null id, text or label are left out; an id that has both labels counts as toxic; of several texts with one id the lowest counts. Without labelled texts
     no weight differs from 0 and the bias is -1, so that nothing is flagged. One task trains; its weights go to the driver.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    # rows bounds what is broadcast
+    known = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    # rows bounds what is broadcast, and one text for each id what is trained on
     chosen = F.broadcast(sample_by_hash(known, ["y"], "id", rows // 2, seed))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("text is not null")
+    texts = texts.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -93,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w = ftrl(features, y, bits, **training)
         yield pa.RecordBatch.from_pydict({"i": pa.array([w.index.tolist()], pa.list_(pa.int64())), "w": pa.array([w.value.tolist()], pa.list_(pa.float64())), "b": [w.bias]})
 
-    sample = texts.join(chosen, "id").select(F.xxhash64("id").alias("id"), "y", "text").repartition(1)
+    sample = texts.select(F.xxhash64("id").alias("id"), "y", "text").repartition(1)
     got = sample.mapInArrow(train, "i array<bigint>, w array<double>, b double").collect()
     return Weights(np.array(got[0].i, np.int64), np.array(got[0].w), got[0].b, bits) if got else Weights(np.zeros(0, np.int64), np.zeros(0), -1.0, bits)
 
@@ -111,9 +129,8 @@ def score(df: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str
         table[weights.index] = weights.value
 
         def run(texts: pa.Array) -> list:
-            doc, code = occurrences(texts, weights.bits)
-            there = table[code] != 0
-            key = np.unique((doc[there] << weights.bits) | code[there])
+            doc, code = occurrences(texts, weights.bits, table)
+            key = np.unique((doc << weights.bits) | code)
             total = np.bincount(key >> weights.bits, weights=table[key & ((1 << weights.bits) - 1)], minlength=len(texts)) + weights.bias
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             return [p, p >= threshold]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import extend, small_batches
+from .shared import extend, materialize, quoted, small_batches
 
 UNITS = "mm cm m km mg g kg t ml l inch inches foot feet ft yard yards mile miles ounce ounces oz pound pounds lb lbs second seconds minute minutes min hour hours h day days week weeks month months year years dollar dollars usd euro euros eur cent cents percent degrees meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres mph kmh"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
@@ -52,8 +52,8 @@ def tokens(raw: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.
     w = K.words(small, offsets)
     if len(w.hash) == 0:
         return w.doc, w.hash, np.zeros(0, np.int8), np.zeros(0, bool)
-    capital = np.concatenate(([0], np.cumsum(data != small)))
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
+    capital = np.concatenate(([0], np.cumsum(data != small, dtype=np.int32)))
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[data], dtype=np.int32)))
     head = np.minimum(w.start + np.where(data[w.start] >= 0x80, 2, 1), w.end)
     first, all_capitals = capital[head] > capital[w.start], capital[w.end] - capital[head]
     kind = np.where(first & (all_capitals == 0), _NAME, 0).astype(np.int8)
@@ -106,7 +106,7 @@ def least_literals(size: int) -> int:
 
 def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[int], wanted: np.ndarray | None, whole_short: bool) -> DataFrame:
     """Windows as (id, stream, n, h, pos, slots, words), pos and words in tokens of their stream: slots has the words at placeholders, their type in the low two bits, 0 elsewhere, for templates, else null."""
-    head = df.select(F.col(id_col).alias("id"))
+    head = df.select(quoted(id_col).alias("id"))
     schema = extend(head, "stream int, n int, h bigint, pos int, slots array<bigint>, words int")
     kinds = pa.list_(pa.int64())
 
@@ -145,7 +145,7 @@ def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[in
                                 ["id", "stream", "n", "h", "pos", "slots", "words"],
                             )
 
-    return small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(df).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def contaminated(
@@ -159,7 +159,7 @@ def contaminated(
     literals: int = 5,
     min_coverage: float = 0.5,
     min_item: int = 4,
-    most_windows: int = 2_000_000,
+    most_windows: int = 500_000,
 ) -> DataFrame:
     """Documents that hold a benchmark item: (id, item id, coverage, changed_slots, kind).
 
@@ -170,20 +170,21 @@ def contaminated(
     document and item, from the alignment of the largest coverage. Documents with null ids, null or empty texts give no
     rows; repeated rows give the rows of one; other columns are ignored; an empty table on either side gives no rows.
 
-    Up to ``most_windows`` benchmark windows travel to the tasks, which drop a document's other windows at once.
+    Up to ``most_windows`` benchmark windows (counted with their items and places) travel to the tasks, which drop a document's other windows at once.
     Beyond that all windows are shuffled by hash: the same result.
     """
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
+    items = benchmark.where(quoted(item_col).isNotNull()).select(quoted(item_col).alias("item"), quoted(item_text).alias("text"))
     lengths = list(range(min_item, window + 1))
     ours = _emit(items, "item", "text", window, lengths, None, True).withColumnRenamed("id", "item").withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots").withColumnRenamed("words", "item_words").distinct()
+    ours = materialize(ours, "windows")
     there = ours.select("n", "h").distinct()
-    small = there.limit(most_windows + 1).count() <= most_windows
+    small = ours.count() <= most_windows  # of what travels: each row is a window of up to ``window`` words
     if small:
         got = there.toPandas()
         wanted, lengths = np.sort(got["h"].to_numpy(np.int64).view(np.uint64)), sorted(int(n) for n in got["n"].unique())
     else:
         wanted, lengths = None, [r.n for r in there.select("n").distinct().collect()]
-    named = docs.where(F.col(id_col).isNotNull())
+    named = docs.where(quoted(id_col).isNotNull())
     if small and len(wanted) == 0:
         wanted, lengths = np.zeros(1, np.uint64), []
     theirs = _emit(named, id_col, text_col, window, lengths, wanted, False).drop("words", "stream")

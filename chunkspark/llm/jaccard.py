@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import map_text, materialize, small_batches, small_side
+from .shared import map_text, materialize, quoted, small_batches, small_side
 
 WIDTH = 64
 _rng = np.random.default_rng(20170404)
 _MUL, _XOR = _rng.integers(0, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 1 << 63, WIDTH, np.uint64)
+HOME_ROWS = 1024  # rows of a bucket on either side of what one task verifies at once
 GRAM_BITS = 44  # wide enough for paths: buckets of unrelated texts must not fill up as the corpus grows
+_RUN = np.uint64(63)
 _STEP, _PICK = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -63,19 +65,20 @@ def children(key: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.
     return (np.concatenate(out_row), np.concatenate(out_key)) if out_row else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def close(tokens: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of positions that share enough tokens."""
-    ok = [np.count_nonzero(tokens[a[k : k + 65536]] == tokens[b[k : k + 65536]], axis=1) >= least * WIDTH for k in range(0, len(a), 65536)]
-    ok = np.concatenate(ok) if ok else np.zeros(0, bool)
+def close(tokens: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, most: np.ndarray | int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of positions that share enough tokens, and not more than ``most`` of them."""
+    equal = [np.count_nonzero(tokens[a[k : k + 65536]] == tokens[b[k : k + 65536]], axis=1) for k in range(0, len(a), 65536)]
+    equal = np.concatenate(equal) if equal else np.zeros(0, np.int64)
+    ok = (equal >= least * WIDTH) & (equal <= most)
     return a[ok], b[ok]
 
 
-def split_bucket(key: np.uint64, member: np.ndarray, tokens: np.ndarray, threshold: float, least: float, limit: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def split_bucket(key: np.uint64, member: np.ndarray, tokens: np.ndarray, threshold: float, least: float, limit: int, depth: int, most: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members that a bucket suggests: by brute force if it is small or the last, else from its children."""
     own = tokens[member]
     if len(member) <= limit or depth <= 0:
         for i in range(len(member) - 1):
-            yield close(tokens, np.full(len(member) - i - 1, member[i]), member[i + 1 :], least)
+            yield close(tokens, np.full(len(member) - i - 1, member[i]), member[i + 1 :], least, most)
         return
     share = np.zeros(len(member))
     for i in range(WIDTH):
@@ -84,35 +87,52 @@ def split_bucket(key: np.uint64, member: np.ndarray, tokens: np.ndarray, thresho
     near = share / (WIDTH * len(member)) >= 0.9 * threshold  # close to most of the bucket: more paths wouldn't part them
     for i in np.flatnonzero(near):
         rest = member[(~near) | (np.arange(len(member)) > i)]
-        yield close(tokens, np.full(len(rest), member[i]), rest, least)
+        yield close(tokens, np.full(len(rest), member[i]), rest, least, most)
     left = member[~near]
     row, child = children(np.full(len(left), key), tokens[left], threshold)
     order = np.argsort(child, kind="stable")
     row, child = row[order], child[order]
     for k in np.split(np.arange(len(child)), np.flatnonzero(child[1:] != child[:-1]) + 1):
         if len(k) > 1:
-            yield from split_bucket(child[k[0]], left[row[k]], tokens, threshold, least, limit, depth - 1)
+            yield from split_bucket(child[k[0]], left[row[k]], tokens, threshold, least, limit, depth - 1, most)
+
+
+def meeting(equal: int, levels: int, threshold: float) -> float:
+    """Probability that two texts with so many equal tokens meet on all these levels of one run."""
+    follow, meet = 1 / (threshold * WIDTH), 1.0
+    for _ in range(levels):
+        meet = 1 - (1 - follow * meet) ** equal
+    return meet
+
+
+def runs_enough(levels: int, threshold: float, miss: float = 1e-4) -> np.ndarray:
+    """For each number of equal tokens the runs after which all but ``miss`` of such pairs have met; later ones needn't suggest them again."""
+    meet = np.array([meeting(k, levels, threshold) for k in range(WIDTH + 1)])
+    return np.ceil(np.log(miss) / np.log1p(-np.clip(meet, 1e-9, 1 - 1e-12))).astype(np.int64)
 
 
 def chance(runs: int, levels: int, threshold: float, slack: float) -> float:
     """Probability that a pair at the threshold is found, if it must meet on this many levels: over the spread of its equal tokens, of which it needs ``threshold - slack``."""
-    follow, total = 1 / (threshold * WIDTH), 0.0
+    total, enough = 0.0, runs_enough(levels, threshold)
     for k in range(math.ceil((threshold - slack) * WIDTH), WIDTH + 1):
-        meet = 1.0
-        for _ in range(levels):
-            meet = 1 - (1 - follow * meet) ** k
-        total += math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) * (1 - (1 - meet) ** runs)
+        found = 1 - (1 - meeting(k, levels, threshold)) ** min(runs, int(enough[k]))
+        total += math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) * found
     return total
 
 
 def runs_for(recall: float, depth: int, threshold: float = 0.5, slack: float = 0.16) -> int:
     """Runs after which a pair at the threshold is found with this probability on the deepest path: the root, ``depth - 1`` splits by shuffles and as many within a task."""
-    for runs in range(1, 1000):
+    for runs in range(1, int(_RUN) + 1):
         if chance(runs, 2 * depth - 1, threshold, slack) >= recall:
             return runs
     raise ValueError(f"recall {recall} is out of reach with slack {slack}")
 
 
+def of_run(key: np.ndarray, run: np.ndarray | int) -> np.ndarray:
+    """Keys with the number of their run in the lowest bits."""
+    return key & ~_RUN | np.asarray(run, np.uint64)
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Runs of whole groups of the sorted first column, as many as a few batches hold."""
     held: list[list[np.ndarray]] = []
@@ -134,35 +154,65 @@ def _tokens(column: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, WIDTH)
 
 
-def _candidates(buckets: DataFrame, threshold: float, slack: float, limit: int, depth: int) -> DataFrame:
+def _suggested(key: np.ndarray, tokens: np.ndarray, threshold: float, slack: float, limit: int, depth: int, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, first, second) of the pairs of positions that whole buckets of sorted keys suggest."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size, least = np.diff(np.append(start, len(key))), threshold - slack
+    bucket = np.repeat(np.arange(len(start)), size)
+    # of pairs that are so similar that earlier runs have found them this run is silent
+    enough = runs_enough(levels, threshold)
+    top = np.array([np.flatnonzero(enough > r)[-1] for r in range(int(_RUN) + 1)])
+    most = top[key.view(np.uint64) & _RUN]
+    for n in np.unique(size[(size > 1) & (size <= limit)]):
+        x, y = np.triu_indices(n, 1)
+        for k in range(0, len(own := start[size == n]), step := max(1, 200_000 // len(x))):
+            first = (own[k : k + step, None] + x).ravel()
+            a, b = close(tokens, first, (own[k : k + step, None] + y).ravel(), least, most[first])
+            yield bucket[a], a, b
+    for s, n in zip(start[size > limit], size[size > limit], strict=True):
+        for a, b in split_bucket(key[s].view(np.uint64), np.arange(s, s + n), tokens, threshold, least, limit, depth, int(most[s])):
+            yield bucket[a], a, b
+
+
+def _candidates(buckets: DataFrame, threshold: float, slack: float, limit: int, depth: int, levels: int) -> DataFrame:
     """(a, b, home) from rows (key, id, tokens): pairs, and the bucket, or a tile of a large one, that suggests them."""
 
+    def flush(held: list[tuple[np.ndarray, ...]], key: np.ndarray, ident: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        bucket, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        low, high = np.minimum(ident[a], ident[b]), np.maximum(ident[a], ident[b])
+        tiles = (-(-size // HOME_ROWS))[bucket].astype(np.uint64)
+        of = [K.mix(x.view(np.uint64)) % tiles for x in (low, high)]
+        home = key[first[bucket]].view(np.uint64) + of[0] * np.uint64(0x9E3779B97F4A7C15) + of[1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        unique = np.unique(np.stack([low, high, home.view(np.int64)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in unique], ["a", "b", "home"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ident, packed in _grouped(batches, ["key", "id", "tokens"]):
             if not len(key):
                 continue
-            tokens = _tokens(packed)
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(start, len(key)))
-            pairs, least = [], threshold - slack
-            for n in np.unique(size[(size > 1) & (size <= limit)]):
-                x, y = np.triu_indices(n, 1)
-                for k in range(0, len(own := start[size == n]), step := max(1, 200_000 // len(x))):
-                    pairs.append(close(tokens, (own[k : k + step, None] + x).ravel(), (own[k : k + step, None] + y).ravel(), least))
-            for s, n in zip(start[size > limit], size[size > limit], strict=True):
-                pairs += split_bucket(key[s].view(np.uint64), np.arange(s, s + n), tokens, threshold, least, limit, depth)
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (start[:0], start[:0])
-            bucket = np.repeat(np.arange(len(start)), size)[a]
-            a, b = np.where(ident[a] < ident[b], a, b), np.where(ident[a] < ident[b], b, a)
-            tiles = (-(-size // 2048))[bucket].astype(np.uint64)
-            of = [K.mix(ident[x].view(np.uint64)) % tiles for x in (a, b)]
-            home = key[a].view(np.uint64) + of[0] * np.uint64(0x9E3779B97F4A7C15) + of[1] * np.uint64(0xC2B2AE3D27D4EB4F)
-            unique = np.unique(np.stack([ident[a], ident[b], home.view(np.int64)]), axis=1) if len(a) else np.zeros((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unique], ["a", "b", "home"])
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size, held, rows = np.diff(np.append(first, len(key))), [], 0
+            for found in _suggested(key, _tokens(packed), threshold, slack, limit, depth, levels):
+                held.append(found)
+                rows += len(found[0])
+                if rows >= 1 << 18:  # however many pairs a bucket has, few are held at once
+                    yield flush(held, key, ident, first, size)
+                    held, rows = [], 0
+            if rows:
+                yield flush(held, key, ident, first, size)
 
     return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, home bigint")
 
 
+def _tiled(met: DataFrame, bucket_rows: int) -> DataFrame:
+    """(key, id) of buckets that no path splits any more, cut in blocks of half of ``bucket_rows``: every two blocks of a bucket are a bucket of their own, so that all its pairs meet and no task gets more rows."""
+    blocks = F.ceil(F.col("rows") / (bucket_rows / 2)).cast("int")
+    own = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), k -> k <> block)")))
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return other.select(tile.bitwiseAND(F.lit(~int(_RUN))).bitwiseOR(F.col("key").bitwiseAND(F.lit(int(_RUN)))).alias("key"), "id")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that reach the threshold; pairs has (a, b, home), sets (id, gram)."""
     ends = pairs.select("home", F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -201,32 +251,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("b", F.coalesce("b", F.lit(-1))).repartition("home").sortWithinPartitions("home").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def jaccard_join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = 0.5,
-    n: int = 3,
-    recall: float = 0.98,
-    slack: float = 0.16,
-    limit: int = 64,
-    depth: int = 3,
-    bucket_rows: int = 20_000,
-) -> DataFrame:
-    """Pairs of texts whose word n-gram sets have at least this Jaccard similarity: (doc_a, doc_b, jaccard), doc_a < doc_b.
-
-    Texts with equal sets are one node, named by its lowest id: each other member has one row with the node, of
-    similarity 1; pairs of different sets are between nodes. So (x, y) is similar just where their nodes are equal or
-    paired, and a group of thousands of copies takes as many rows, not their square. Every pair of nodes at the
-    threshold is found with probability ``recall`` at least; what is reported is verified on whole sets of 32-bit hashes.
-
-    Rows with null ids and texts without words (null and empty ones too) are in no pair; a text of fewer than n words has
-    one gram of all its words. Equal rows count once; of different texts with one id the one with the lowest digest
-    counts. Other columns are ignored; an empty table gives an empty table. Buckets over ``bucket_rows`` are split by
-    further shuffles, smaller ones within a task, each at most ``depth - 1`` times; buckets left over are compared in full.
-    """
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-
+def _links(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: int, recall: float, slack: float, limit: int, depth: int, bucket_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, near, wordless): the distinct (id, one, two) of texts with words, where one and two are their set's digests; (one, two, node, low, members) of each distinct set, by a number of its own and its lowest id; (a, b, jaccard) of the similar nodes; ids of texts without words."""
+    named = docs.where(quoted(id_col).isNotNull()).select(quoted(id_col).cast("bigint").alias("id"), quoted(text_col).alias("text"))
     runs = runs_for(recall, depth, threshold, slack)
 
     def make_signatures():
@@ -234,8 +261,11 @@ def jaccard_join(
             row, gram = K.gram_sets(*K.buffers(texts), n, GRAM_BITS)
             size, one, two = digests(len(texts), row, gram)
             wide = minima(len(texts), row, gram)
-            found = [children(K.mix(np.full(len(texts), r + 1, np.uint64)), wide, threshold) for r in range(runs)]
+            there = np.flatnonzero(size)
+            found = [children(K.mix(np.full(len(there), r + 1, np.uint64)), wide[there], threshold) for r in range(runs)]
+            found = [(at, of_run(key, r)) for r, (at, key) in enumerate(found)]
             at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = there[at]
             order = np.argsort(at, kind="stable")
             ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(texts))))).astype(np.int32)
             paths = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
@@ -244,34 +274,39 @@ def jaccard_join(
 
         return run
 
-    signed = map_text(named, ["id"], "text", make_signatures, "size bigint, one bigint, two bigint, tokens binary, paths array<bigint>").where("size > 0")
-    signed = materialize(signed.groupBy("id").agg(F.min(F.struct("one", "two", "tokens", "paths")).alias("s")).select("id", "s.*"), "signatures")
-    node = materialize(signed.groupBy("one", "two").agg(F.min("id").alias("node"), F.count("*").alias("members")), "nodes")
-    equal = signed.select("id", "one", "two").join(node.where("members > 1"), ["one", "two"]).where("id <> node")
-    equal = equal.select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    nodes = signed.join(node.select(F.col("node").alias("id"), "one", "two"), ["id", "one", "two"], "left_semi")
-    sets = nodes.select("id", "tokens")
+    signed = map_text(named, ["id"], "text", make_signatures, "size bigint, one bigint, two bigint, tokens binary, paths array<bigint>")
+    # numbers of rows are unique whatever a retried task does, and stay as they were written
+    signed = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "signatures")
+    members = materialize(signed.where("size > 0").groupBy("one", "two", "id").agg(F.min("node").alias("node")), "members")
+    nodes = members.groupBy("one", "two").agg(F.min(F.struct("id", "node")).alias("s"), F.count("*").alias("members"))
+    nodes = materialize(nodes.select("one", "two", "s.node", F.col("s.id").alias("low"), "members"), "nodes")
+    wordless = signed.where("size = 0").select("id").distinct()
+    each = signed.join(small_side(nodes.select("node")), "node", "left_semi")
+    sets = each.select(F.col("node").alias("id"), "tokens")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            row, child = children(batch.column("key").to_numpy().view(np.uint64), _tokens(batch.column("tokens").to_pylist()), threshold)
+            key = batch.column("key").to_numpy().view(np.uint64)
+            row, child = children(key, _tokens(batch.column("tokens").to_pylist()), threshold)
+            child = of_run(child, key[row] & _RUN)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("id").take(pa.array(row))], ["key", "id"])
 
-    level, done = materialize(nodes.select(F.explode("paths").alias("key"), "id"), "paths"), []
+    level, buckets = materialize(each.select(F.explode("paths").alias("key"), F.col("node").alias("id")), "paths"), None
     for left in range(depth - 1, -1, -1):
         sizes = level.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
         met = materialize(level.join(sizes, "key"), "met")
-        done.append(met.where(F.col("rows") <= bucket_rows if left else F.lit(True)).select("key", "id"))
+        done = met.where(F.col("rows") <= bucket_rows).select("key", "id")
+        buckets = done if buckets is None else buckets.unionByName(done)
         large = met.where(F.col("rows") > bucket_rows)
-        if not left or large.isEmpty():
+        if large.isEmpty():
             break
-        level = materialize(small_batches(large).join(sets, "id").select("key", "id", "tokens").mapInArrow(follow, "key bigint, id bigint"), "paths")
-    buckets = done[0]
-    for more in done[1:]:
-        buckets = buckets.unionByName(more)
-    found = _candidates(buckets.join(sets, "id"), threshold, slack, limit, depth - 1)
+        if left:
+            level = materialize(small_batches(large).join(sets, "id").select("key", "id", "tokens").mapInArrow(follow, "key bigint, id bigint"), "paths")
+        else:
+            buckets = buckets.unionByName(_tiled(large, bucket_rows))
+    found = _candidates(buckets.join(sets, "id"), threshold, slack, limit, depth - 1, 2 * depth - 1)
     pairs = materialize(found.groupBy("a", "b").agg(F.min("home").alias("home")), "pairs")
 
     def make_sets():
@@ -283,11 +318,97 @@ def jaccard_join(
 
         return run
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grams = map_text(named.join(small_side(wanted), "id", "left_semi"), ["id"], "text", make_sets, "one bigint, two bigint, gram binary")
-    grams = grams.join(node.select(F.col("node").alias("id"), "one", "two"), ["id", "one", "two"], "left_semi").dropDuplicates(["id"]).select("id", "gram")
-    near = _verified(pairs, grams, threshold).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
-    return equal.unionByName(near)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "one", "two", F.col("low").alias("id")), "wanted")
+    texts = named.join(small_side(wanted.select("id").distinct()), "id", "left_semi")
+    grams = map_text(texts, ["id"], "text", make_sets, "one bigint, two bigint, gram binary")
+    grams = grams.join(small_side(wanted), ["id", "one", "two"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "gram")
+    return members, nodes, materialize(_verified(pairs, grams, threshold), "near"), wordless
+
+
+def jaccard_join(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.5,
+    n: int = 3,
+    recall: float = 0.98,
+    slack: float = 0.16,
+    limit: int = 64,
+    depth: int = 3,
+    bucket_rows: int = 20_000,
+) -> DataFrame:
+    """Pairs of texts whose word n-gram sets have at least this Jaccard similarity: (doc_a, doc_b, jaccard), doc_a < doc_b.
+
+    Texts with equal sets are one node, named by its lowest id: each other member has one row with the node, of
+    similarity 1; pairs of different sets are between nodes. So (x, y) is similar just where their nodes are equal or
+    paired, and a group of thousands of copies takes as many rows, not their square. Every pair of nodes at the
+    threshold is found with probability ``recall`` at least; what is reported is verified on whole sets of 32-bit hashes.
+
+    Rows with null ids and texts without words (null and empty ones too) are in no pair; a text of fewer than n words has
+    one gram of all its words. Equal rows count once; different texts with one id are nodes of their own, but no pair
+    names one id twice. Other columns are ignored; an empty table gives an empty table. Buckets over ``bucket_rows`` are
+    split by further shuffles, smaller ones within a task, each at most ``depth - 1`` times; larger ones that are left
+    over are compared in full, in tiles of two blocks each.
+    """
+    members, nodes, near, _ = _links(docs, id_col, text_col, threshold, n, recall, slack, limit, depth, bucket_rows)
+    equal = members.select("id", "one", "two").join(nodes.where("members > 1"), ["one", "two"]).where("id <> low")
+    equal = equal.select(F.col("low").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    low = nodes.select("node", "low")
+    named = near.join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    pairs = named.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return equal.unionByName(pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")))
+
+
+def similarity_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.5,
+    n: int = 3,
+    recall: float = 0.98,
+    slack: float = 0.16,
+    limit: int = 64,
+    depth: int = 3,
+    bucket_rows: int = 20_000,
+) -> DataFrame:
+    """The join as one row for each document: (id, class_id, copies, links, first, one, two).
+
+    ``class_id`` is the lowest id of all documents that pairs of at least the threshold connect with this one, its own
+    if there is none; ``copies`` counts the other documents with an equal n-gram set, ``links`` the other sets that are
+    similar to this one, each found and verified as in ``jaccard_join``. ``first`` is true for one document of each
+    class, that with the lowest (id, digests); ``one`` and ``two`` are the digests of the set. So the result grows with the
+    documents, however many copies a group has.
+
+    Rows with null ids are left out; repeated rows give one row; different texts with one id give a row each, and are of
+    one class only if they are similar. Texts without words (null and empty ones too) are alone in their class, with digests of 0. Ties
+    don't occur: equal (id, digests) are one row. Other columns are ignored; an empty table gives an empty table.
+    """
+    members, nodes, near, wordless = _links(docs, id_col, text_col, threshold, n, recall, slack, limit, depth, bucket_rows)
+    kind = docs.schema[id_col].dataType.simpleString()
+    links = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    root = components(near.select("a", "b")).withColumnRenamed("id", "node")
+    placed = materialize(nodes.join(root, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    first = placed.groupBy("root").agg(F.min(F.struct("low", "one", "two")).alias("first"))
+    node = placed.join(first, "root").select("one", "two", F.col("members") - 1, F.coalesce("links", F.lit(0)), "first").toDF("one", "two", "copies", "links", "f")
+    is_first = (F.col("id") == F.col("f.low")) & (F.col("one") == F.col("f.one")) & (F.col("two") == F.col("f.two"))
+    out = members.select("id", "one", "two").join(node, ["one", "two"]).select("id", F.col("f.low").alias("class_id"), "copies", "links", is_first.alias("first"), "one", "two")
+    zero = F.lit(0).cast("bigint")
+    alone = wordless.select("id", F.col("id").alias("class_id"), zero.alias("copies"), zero.alias("links"), F.lit(True).alias("first"), zero.alias("one"), zero.alias("two"))
+    named = out.unionByName(alone)
+    return named.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), *named.columns[2:])
+
+
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+    """docs with the digests (one, two) of each text's n-gram set, as in ``similarity_classes``."""
+
+    def make():
+        def run(texts: pa.Array) -> list:
+            row, gram = K.gram_sets(*K.buffers(texts), n, GRAM_BITS)
+            return list(digests(len(texts), row, gram)[1:])
+
+        return run
+
+    return map_text(docs, docs.columns, text_col, make, "one bigint, two bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,29 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkspark.llm import decontam, jaccard, langid, packing, quality
-from chunkspark.llm.queries import length_tokens
-from chunkspark.llm.shared import materialize, small_side
+from chunkspark.llm import decontam, jaccard, langid, quality
+from chunkspark.llm.queries import pack_tokens
+from chunkspark.llm.shared import materialize, quoted, small_side
 
 
 def _accepted(docs: DataFrame, decide: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     """Rows that the operator accepts; under neutral names, since its own columns could clash with others."""
     neutral = {c: c if c in ("doc_id", "text") else f"__{k}" for k, c in enumerate(docs.columns)}
-    kept = decide(docs.select(*(_col(c).alias(n) for c, n in neutral.items())), list(neutral.values())).where("accepted")
+    kept = decide(docs.select(*(quoted(c).alias(n) for c, n in neutral.items())), list(neutral.values())).where("accepted")
     return kept.select(*(F.col(n).alias(c) for c, n in neutral.items()))
 
 
-def _col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without these ids; their list is written, then broadcast if it is small and shuffled if not."""
     gone = materialize(ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct(), "ids")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*(_col(c) for c in docs.columns))
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*(quoted(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +42,25 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the lowest id of each group of near copies; of rows with one id, one."""
-    pairs = jaccard.jaccard_join(docs)
-    kept = _without(docs, jaccard.components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    """The document with the lowest id of each class of near copies, which pairs of a Jaccard similarity of 0.5 connect.
+
+    Rows with null ids stay, as do texts without words. Of equal rows one stays; of rows with one id whose texts have the
+    same n-grams that with the lowest JSON; different texts with one id each stand for themselves.
+    """
+    classes = materialize(jaccard.similarity_classes(docs), "classes")
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    kept = _without(docs, classes.where("not first").select("doc_id").unionByName(repeated))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*(_col(c) for c in docs.columns)).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once)
+    # ids with several rows: one row of each text that is the first of its class
+    neutral = [f"__{k}" for k in range(len(docs.columns))]
+    again = docs.join(small_side(repeated), "doc_id", "left_semi").select(*map(quoted, docs.columns)).toDF(*neutral)
+    named = {c: n for c, n in zip(docs.columns, neutral, strict=True)}
+    hashed = jaccard.digest_rows(again, named["doc_id"], named["text"])
+    once = hashed.groupBy(named["doc_id"], "one", "two").agg(F.min_by(F.struct(*neutral), F.to_json(F.struct(*neutral))).alias("r"))
+    first = classes.where("first").select(F.col("doc_id").alias(named["doc_id"]), "one", "two")
+    once = once.join(first, [named["doc_id"], "one", "two"], "left_semi").select(*(F.col(f"r.{n}").alias(c) for c, n in named.items()))
+    return kept.unionByName(once)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +69,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training windows of at most 2,048 words and marks."""
-    return packing.pack(docs, length_tokens(F.col("text")))
+    """Training windows of at most 2,048 tokens; null texts count none, null ids and repeated rows are packed each."""
+    return pack_tokens(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -129,7 +129,7 @@ def agentic(docs: DataFrame, llm_fn: LLM | None = None, max_sentences_per_call:
 
 
 def _sequential(docs: DataFrame, split: Callable[[str, str], list[S.Piece]], suffix: str, strategy: str, id_col: str, text_col: str) -> DataFrame:
-    """Chunks from a function of (id, text); a text that it can't split gives none."""
+    """Chunks from a function of (id, text); a null or empty text gives none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "chunk_id", "chunk_index", "text", "strategy", "token_count", "meta"]
@@ -138,11 +138,7 @@ def _sequential(docs: DataFrame, split: Callable[[str, str], list[S.Piece]], suf
             for ident, text in f.itertuples(index=False):
                 if not isinstance(text, str) or not text:
                     continue
-                try:
-                    pieces = split(ident, text)
-                except RecursionError:
-                    continue
-                for k, (body, meta) in enumerate(pieces):
+                for k, (body, meta) in enumerate(split(ident, text)):
                     meta = dict(meta)
                     i, n = meta.pop("index", k), meta.pop("token_count", None)
                     rows.append((ident, f"{ident}#{suffix}#{i}", i, body, meta.pop("strategy", strategy), S.count(body) if n is None else n, {a: str(b) for a, b in meta.items() if b is not None}))

@@ -9,7 +9,8 @@ import ast
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -20,7 +21,7 @@ from ..functions.text import SENTENCE_END, TOKEN_COUNT
 Piece = tuple[str, dict]
 _COUNT = re.compile(TOKEN_COUNT)
 _SENTENCE = re.compile(SENTENCE_END.removeprefix("(?U)"))
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ",", " ", "")
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
 
 def count(text: str) -> int:
@@ -46,21 +47,31 @@ def _cut(text: str, separator: str, keep: bool, regex: bool) -> list[str]:
 def recursive_pieces(text: str, base: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, keep: bool = True, regex: bool = False, length: Callable[[str], int] = count) -> list[str]:
     """Unstripped pieces of at most ``base``: cut at the first separator, pieces beyond it at the next ones, and merge greedily.
 
-    After a full buffer its last pieces, ``overlap`` at most together, begin the next one; a piece that is cut further clears the buffer.
+    After a full buffer its last pieces, ``overlap`` at most together, begin the next one; a piece that is cut further clears
+    the buffer. A piece that is still too long when the separators have run out is cut in windows of tokens.
     """
-    if length(text) <= base:
-        return [text]
-    if not separators:
-        return [text]
     out: list[str] = []
-    held: list[tuple[str, int]] = []
-    for piece in _cut(text, separators[0], keep, regex):
+    levels: list[tuple[Iterator[str], int]] = [(iter([text]), -1)]  # pieces, and the separator that cut them
+    stack: list[list[tuple[str, int]]] = [[]]
+    while levels:
+        pieces, level = levels[-1]
+        held = stack[-1]
+        piece = next(pieces, None)
+        if piece is None:
+            if held:
+                out.append("".join(p for p, _ in held))
+            levels.pop(), stack.pop()
+            continue
         n = length(piece)
         if n > base:
             if held:
                 out.append("".join(p for p, _ in held))
-                held = []
-            out += recursive_pieces(piece, base, overlap, separators[1:], keep, regex, length)
+                held.clear()
+            if level + 1 < len(separators):
+                levels.append((iter(_cut(piece, separators[level + 1], keep, regex)), level + 1))
+                stack.append([])
+            else:
+                out += token_pieces(piece, base, overlap)
             continue
         if held and sum(m for _, m in held) + n > base:
             out.append("".join(p for p, _ in held))
@@ -69,19 +80,23 @@ def recursive_pieces(text: str, base: int, overlap: int, separators: tuple[str,
                 if m + sum(x for _, x in carried) > overlap:
                     break
                 carried.insert(0, (p, m))
-            held = carried
+            held[:] = carried
         held.append((piece, n))
-    if held:
-        out.append("".join(p for p, _ in held))
     return out
 
 
-def recursive(text: str, base: int = 512, overlap: int = 64, *, start_index: bool = False, **options) -> list[Piece]:
+def token_pieces(text: str, base: int, overlap: int) -> list[str]:
+    """Windows of ``base`` tokens, white space counted too, every ``base - overlap``, as in fixed_length."""
+    t = re.findall(rf"\s+|{TOKEN_COUNT}", text)
+    return ["".join(t[k : k + base]) for k in range(0, len(t), max(1, base - overlap))]
+
+
+def recursive(text: str, base: int = 512, overlap: int = 64, add_start_index: bool = False, **options) -> list[Piece]:
     """Recursive separator splitting; blank pieces leave a gap in the numbers."""
     out, at = [], 0
     for i, p in enumerate(recursive_pieces(text, base, overlap, **options)):
         meta = {"index": i}
-        if start_index:
+        if add_start_index:
             found = text.find(p, max(0, at - len(p)))
             at = found + len(p) if found >= 0 else at
             meta["start_index"] = found
@@ -131,9 +146,10 @@ def hashing_vectors(texts: list[str], dim: int = 256) -> np.ndarray:
     """Unit hashing vectors; a text whose words cancel out, or that has none, is the zero vector."""
     out = np.zeros((len(texts), dim))
     for k, t in enumerate(texts):
-        for w in t.lower().split():
-            i, s = _word_bucket(w, dim)
-            out[k, i] += s
+        times = Counter(t.lower().split())
+        if times:
+            place, signs = zip(*(_word_bucket(w, dim) for w in times), strict=True)
+            out[k] = np.bincount(place, weights=np.array(signs) * np.fromiter(times.values(), np.int64, len(times)), minlength=dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 

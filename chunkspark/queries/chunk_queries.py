@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import chunkers as C
 from ..sources.documents import html_to_text
 from . import query, table
@@ -63,33 +62,6 @@ def chunk_agentic_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(C.agentic_every(_docs(spark, sf_dir)))
 
 
-PACK = f"""WITH RECURSIVE {SENTENCES},
-m AS (SELECT doc_id, i + 1 AS i, s, {COUNT.format("s")} AS n FROM sentences),
-whole AS (SELECT doc_id, list(s ORDER BY i) AS ss, list(n ORDER BY i) AS ns, list(p ORDER BY i) AS ps
-  FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS p FROM m) GROUP BY doc_id HAVING max(n) <= 1024),
-walk AS (
-  SELECT doc_id, 0 AS i, 1 AS st, CAST(0 AS BIGINT) AS k, 0 AS fs, 0 AS fe, ns, ps FROM whole
-  UNION ALL
-  SELECT doc_id, i + 1,
-    CASE WHEN k + ns[i + 1] > 1024 THEN coalesce(list_min(list_filter(range(st, i + 1), lambda j: ps[i] - CASE WHEN j > 1 THEN ps[j - 1] ELSE 0 END <= 128)), i + 1) ELSE st END,
-    CASE WHEN k + ns[i + 1] > 1024 THEN ps[i + 1] - CASE WHEN coalesce(list_min(list_filter(range(st, i + 1), lambda j: ps[i] - CASE WHEN j > 1 THEN ps[j - 1] ELSE 0 END <= 128)), i + 1) > 1
-      THEN ps[coalesce(list_min(list_filter(range(st, i + 1), lambda j: ps[i] - CASE WHEN j > 1 THEN ps[j - 1] ELSE 0 END <= 128)), i + 1) - 1] ELSE 0 END ELSE k + ns[i + 1] END,
-    CASE WHEN k + ns[i + 1] > 1024 THEN st ELSE 0 END, CASE WHEN k + ns[i + 1] > 1024 THEN i ELSE 0 END, ns, ps
-  FROM walk WHERE i < len(ns)),
-spans AS (
-  SELECT doc_id, fs, fe FROM walk WHERE fs > 0
-  UNION ALL SELECT doc_id, st, i FROM walk WHERE i = len(ns) AND st <= i)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY fe) - 1 AS INTEGER) AS chunk_index, array_to_string(ss[fs:fe], ' ') AS text FROM spans JOIN whole USING (doc_id)"""
-
-
-@query(PACK)
-def chunk_sentence_aware_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in which no sentence exceeds the size of 1,024; such sentences are split by rules that SQL can't express."""
-    docs = _docs(spark, sf_dir)
-    fits = F.forall(T.sentences(F.col("text")), lambda s: T.count_tokens(s) <= 1024)
-    return _shown(C.sentence_aware(docs.where(fits), 1024, 128)).drop("token_count")
-
-
 @query()
 def chunk_sentence_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(C.sentence_aware(_docs(spark, sf_dir), 512, 64))

@@ -10,6 +10,9 @@ from ..operators import chunkers as C
 from ..operators import metrics as M
 from ..operators import qa, retrieve
 from ..operators.embed import HashingEncoder, embed
+from ..plans.config import Config
+from ..plans.tournament import ChunkOptimizer, grid
+from ..sources.documents import from_table
 from . import query, table
 from .text_queries import COUNT, NORMAL, SENTENCES, TOKENS
 
@@ -29,7 +32,7 @@ def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HASHED.format(text='text', source='(SELECT doc_id AS id, text FROM documents)')} SELECT id AS doc_id, count(*) AS filled, round(sum(v * v), 6) AS norm FROM sparse GROUP BY id")
 def hash_embedding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embed(table(spark, sf_dir, "documents"), HashingEncoder(), "doc_id", "text", None)
+    e = embed(table(spark, sf_dir, "documents"), HashingEncoder(), "doc_id")
     return e.select("doc_id", F.size(F.filter("vec", lambda x: x != 0)).cast("bigint").alias("filled"), F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("norm")).where("filled > 0")
 
 
@@ -116,15 +119,19 @@ def qa_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.sentence_questions(_docs(spark, sf_dir), mode="keywords")
 
 
-#: Questions are benchmark items; hits are the documents that the inverted index finds.
+#: Questions are the first sentences of every document; hits are the ten chunks, of all fixed-length chunks of all documents, whose hashing vectors are nearest.
 RELEVANT = rf"""WITH {SENTENCES}, {QA1},
-questions AS (SELECT id AS qid, min(doc_id) AS q_doc, min(answer_span) AS answer_span FROM q1 GROUP BY id),
-chunks AS (SELECT CAST(doc_id AS VARCHAR) AS c_doc, CAST(doc_id AS VARCHAR) || '#fl#' || CAST(o // 448 AS VARCHAR) AS chunk_id, CAST(o // 448 + 1 AS INTEGER) AS rank, array_to_string(list_slice(t, o + 1, o + 512), '') AS text
-  FROM (SELECT doc_id, t, unnest(generate_series(0, len(t) - 1, 448)) AS o FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE len(t) > 0) WHERE o // 448 < 10),
-j AS (SELECT qid, rank, chunk_id, {NORMAL.format("answer_span")} AS a, {NORMAL.format("text")} AS c FROM questions JOIN chunks ON q_doc = c_doc),
+questions AS (SELECT id AS qid, min(doc_id) AS q_doc, min(query) AS query, min(answer_span) AS answer_span FROM q1 GROUP BY id),
+chunks AS (SELECT CAST(doc_id AS VARCHAR) AS c_doc, CAST(doc_id AS VARCHAR) || '#fl#' || CAST(o // 448 AS VARCHAR) AS chunk_id, array_to_string(list_slice(t, o + 1, o + 512), '') AS text
+  FROM (SELECT doc_id, t, unnest(generate_series(0, len(t) - 1, 448)) AS o FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE len(t) > 0)),
+{HASHED.format(text="text", source="(SELECT 'q' || qid AS id, query AS text FROM questions UNION ALL SELECT 'c' || chunk_id, text FROM chunks)")},
+sims AS (SELECT q.id[2:] AS qid, c.id[2:] AS chunk_id, sum(q.v * c.v) AS s FROM sparse q JOIN sparse c ON q.idx = c.idx WHERE q.id[1] = 'q' AND c.id[1] = 'c' GROUP BY ALL),
+full_sims AS (SELECT qid, chunk_id, round(coalesce(s, 0), 6) + 0.0 AS sim FROM (SELECT qid, chunk_id FROM questions, chunks) LEFT JOIN sims USING (qid, chunk_id)),
+hits AS (SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, chunk_id) AS INTEGER) AS rank FROM full_sims QUALIFY rank <= 10),
+j AS (SELECT qid, rank, chunk_id, q_doc = c_doc AS same, {NORMAL.format("answer_span")} AS a, {NORMAL.format("text")} AS c FROM hits JOIN questions USING (qid) JOIN chunks USING (chunk_id)),
 t AS (SELECT *, list_distinct(regexp_extract_all(a, '(\s+|\S+)', 1)) AS tokens, string_split(c, ' ') AS body FROM j),
-f AS (SELECT *, CASE WHEN contains(c, a) THEN tokens ELSE list_filter(tokens, lambda x: list_contains(body, x)) END AS found FROM t),
-rel AS (SELECT qid, rank, chunk_id, CASE WHEN contains(c, a) THEN 2.0::DOUBLE WHEN len(found) > 0 THEN 1 + len(found)::DOUBLE / len(tokens) ELSE 0.0::DOUBLE END AS rel, found, CAST(len(tokens) AS INTEGER) AS n_answer FROM f)
+f AS (SELECT *, CASE WHEN NOT same THEN [] WHEN contains(c, a) THEN tokens ELSE list_filter(tokens, lambda x: list_contains(body, x)) END AS found FROM t),
+rel AS (SELECT qid, rank, chunk_id, CASE WHEN same AND contains(c, a) THEN 2.0::DOUBLE WHEN len(found) > 0 THEN 1 + len(found)::DOUBLE / len(tokens) ELSE 0.0::DOUBLE END AS rel, found, CAST(len(tokens) AS INTEGER) AS n_answer FROM f)
 """
 METRICS = """,
 ideal AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS ideal FROM rel),
@@ -134,13 +141,17 @@ per_question AS (SELECT qid, mrr, CASE WHEN best > 0 THEN gain / best ELSE 0 END
 """
 
 
-def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's sentence questions against its first ten fixed chunks, ranked by position."""
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, questions, chunks)"""
     docs = _docs(spark, sf_dir)
     questions = qa.sentence_questions(docs).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("query").alias("query"), F.min("answer_span").alias("answer_span"))
     chunks = C.fixed_length(docs, 512, 64)
-    hits = questions.select(F.col("id").alias("qid"), "doc_id").join(chunks.where("chunk_index < 10"), "doc_id").select("qid", (F.col("chunk_index") + 1).alias("rank"), "chunk_id", F.lit(0.0).alias("sim"))
-    return M.relevance(hits, questions, chunks)
+    asked = embed(questions.select(F.col("id").alias("qid"), "query"), HashingEncoder(), "qid", "query")
+    return retrieve.search(embed(chunks, HashingEncoder()), asked, 10), questions, chunks
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.relevance(*_retrieved(spark, sf_dir))
 
 
 @query(RELEVANT + "SELECT qid, rank, chunk_id, round(rel, 6) AS rel, CAST(len(found) AS INTEGER) AS n_found, n_answer FROM rel")
@@ -160,13 +171,14 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT doc_id AS position, (doc_id % 100) / 100.0::DOUBLE AS mrr, (doc_id % 37) / 37.0::DOUBLE AS ndcg, (doc_id % 11) / 11.0::DOUBLE AS coverage, n_chars AS n_chunks FROM documents),
 l AS (SELECT *, log10(greatest(1, n_chunks)) AS g FROM c)
-SELECT position, round(mrr * 0.9 + mrr * 0.1, 6) AS quality, round(mrr * 0.4 + 0.6 / (1 + 0.2 * g), 6) AS cost, round(mrr * 0.8 + mrr * 0.2, 6) AS latency,
-  round(greatest(0, mrr * 0.6 + mrr * 0.2 + coverage * 0.2 - 0.03 * g), 6) AS balanced FROM l""")
+SELECT position, round(ndcg * 0.9 + mrr * 0.1, 6) AS quality, round(ndcg * 0.4 + 0.6 / (1 + 0.2 * g), 6) AS cost, round(mrr * 0.8 + ndcg * 0.2, 6) AS latency,
+  round(greatest(0, ndcg * 0.6 + mrr * 0.2 + coverage * 0.2 - 0.03 * g), 6) AS balanced FROM l""")
 def objective_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four objectives over made-up candidates, one for each document."""
+    """The four objectives over made-up candidates, one for each document, with ndcg as the primary metric."""
     d = table(spark, sf_dir, "documents")
-    c = d.select(F.col("doc_id").alias("position"), (F.col("doc_id") % 100 / 100.0).alias("mrr"), (F.col("doc_id") % 11 / 11.0).alias("coverage"), F.col("n_chars").alias("n_chunks"))
-    return c.select("position", *(F.round(M.objective(o, F.col("mrr"), F.col("mrr"), F.col("coverage"), F.col("n_chunks")), 6).alias(o) for o in ("quality", "cost", "latency", "balanced")))
+    made = [(F.col("doc_id") % n / float(n)).alias(name) for name, n in (("mrr", 100), ("ndcg", 37), ("coverage", 11))]
+    c = d.select(F.col("doc_id").alias("position"), *made, F.col("n_chars").alias("n_chunks"))
+    return c.select("position", *(F.round(M.objective(o, F.col("ndcg"), F.col("mrr"), F.col("coverage"), F.col("n_chunks")), 6).alias(o) for o in ("quality", "cost", "latency", "balanced")))
 
 
 @query(f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(o // 448 AS INTEGER) AS chunk_index, array_to_string(list_slice(t, o + 1, o + 512), '') AS text
@@ -180,24 +192,17 @@ def chunk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT qid, min(query) AS question, min(answer_span) AS ground_truth, CAST(count(*) AS INTEGER) AS n_contexts, md5(string_agg(substr(text, 1, 1800), '|' ORDER BY rank)) AS contexts
 FROM (SELECT top.qid, top.rank, chunks.text, q.query, q.answer_span FROM top JOIN chunks USING (chunk_id) JOIN (SELECT id AS qid, min(query) AS query, min(answer_span) AS answer_span FROM q1 GROUP BY id) q USING (qid)) GROUP BY qid""")
 def judge_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    questions = qa.sentence_questions(docs).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("query").alias("query"), F.min("answer_span").alias("answer_span"))
-    chunks = C.fixed_length(docs, 512, 64)
-    hits = questions.select(F.col("id").alias("qid"), "doc_id").join(chunks, "doc_id").select("qid", (F.col("chunk_index") + 1).alias("rank"), "chunk_id")
+    hits, questions, chunks = _retrieved(spark, sf_dir)
     return M.judge_dataset(hits, questions, chunks).select("qid", "question", "ground_truth", F.size("contexts").alias("n_contexts"), F.md5(F.array_join("contexts", "|")).alias("contexts"))
 
 
 @query()
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two fixed-length candidates compete with synthetic questions of every document."""
-    docs, rows = _docs(spark, sf_dir), None
+    """The tournament's whole grid over all documents, with synthetic questions of every document and noise chunks."""
+    docs = from_table(table(spark, sf_dir, "documents"), "doc_id")
+    optimizer = ChunkOptimizer(Config(mode="full"))
     questions = qa.synthetic_questions(docs).dropDuplicates(["id"])
-    asked = embed(questions.select(F.col("id").alias("qid"), "query"), HashingEncoder(), "qid", "query")
-    for k, (base, overlap) in enumerate([(512, 64), (256, 32)]):
-        chunks = C.fixed_length(docs, base, overlap)
-        hits = retrieve.search(embed(chunks, HashingEncoder()), asked, 10)
-        row = M.summary(M.per_question(M.relevance(hits, questions, chunks))).crossJoin(chunks.agg(F.count("*").alias("n_chunks")))
-        row = row.select(F.lit(f"fixed_length ({base}|{overlap})").alias("cand"), F.lit(k).alias("position"), "*")
-        rows = row if rows is None else rows.unionByName(row)
-    return M.leaderboard(rows)
-
+    rows, failed = optimizer.compete(docs, questions, grid({".txt"}), lambda *_: None)
+    if failed:
+        raise RuntimeError(str(failed))
+    return M.leaderboard(spark.createDataFrame(rows))

@@ -210,7 +210,10 @@ def overlap_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.add_overlap(turns, 50, "conv_id", "turn").select(F.col("original_id").alias("chunk_id"), "text")
 
 
-@query()
+@query(f"""WITH {HASHED.format(text='text', source='(SELECT doc_id AS id, text FROM documents)')},
+filled AS (SELECT id, map(list(idx ORDER BY idx), list(v ORDER BY idx)) AS m FROM sparse GROUP BY id)
+SELECT doc_id, array_to_string(list_transform(range(0, 256), lambda k: CAST(CAST(round(coalesce(m[CAST(k AS INTEGER)], 0) * 10000) AS INTEGER) AS VARCHAR)), ',') AS vec FROM documents LEFT JOIN filled ON doc_id = id""")
 def embedding_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of whole documents, as in hash_embedding_norm."""
-    return embed(table(spark, sf_dir, "documents"), HashingEncoder(), "doc_id", "text", None)
+    """Vectors of whole documents in ten-thousandths, joined."""
+    e = embed(table(spark, sf_dir, "documents"), HashingEncoder(), "doc_id")
+    return e.select("doc_id", F.array_join(F.transform("vec", lambda x: F.round(x * 10000).cast("int").cast("string")), ",").alias("vec"))

@@ -92,7 +92,7 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str, id_col: str
     stay, rows of equal content share one count, other columns are ignored; an empty table gives an empty table and leaves
     the cache as it is. Texts of any length are encoded whole. One text is encoded for each digest that the cache lacks, that of the lowest id.
 
-    Up to a million missing digests travel to the texts, which then aren't shuffled; more are joined by a shuffle.
+    Up to half a million missing digests travel to the texts, which then aren't shuffled; more are joined by a shuffle.
     """
     spark, version = docs.sparkSession, tokenizer.version()
     text = normalised(quoted(text_col))
@@ -105,7 +105,7 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str, id_col: str
     texts = docs.select(quoted(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
     def of(wanted: DataFrame) -> DataFrame:
-        wanted = small_side(wanted.select("digest", "id"), 1_000_000)
+        wanted = small_side(wanted.select("digest", "id"), 500_000)
         return texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["id"].eqNullSafe(wanted["id"]), "left_semi").select("digest", "text")
 
     picked, repeated = of(missing.where("n = 1")), missing.where("n > 1")

@@ -18,11 +18,11 @@ from .sources.documents import load_documents
 log = logging.getLogger("chunkspark")
 
 
-def _documents(spark: SparkSession, root: str) -> DataFrame:
-    docs = load_documents(spark, root)
-    if docs.isEmpty():
-        raise SystemExit(f"no supported documents below {root}")
-    return docs
+def _documents(spark: SparkSession, root: str, cache_dir: str | None = None) -> DataFrame:
+    try:
+        return load_documents(spark, root, cache_dir=cache_dir)
+    except (FileNotFoundError, RuntimeError) as e:
+        raise SystemExit(str(e)) from e
 
 
 def optimize(args: argparse.Namespace, spark: SparkSession) -> None:
@@ -30,7 +30,7 @@ def optimize(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.no_proxy:
         config.proxy.enabled, config.proxy.above = False, None
     encoder = get_encoder(args.embedding_provider, args.embedding_model)
-    found = ChunkOptimizer(config, encoder).optimize(_documents(spark, args.docs), candidate_names=args.candidates or None, on_progress=lambda m, k: log.info("%s: %s", k, m))
+    found = ChunkOptimizer(config, encoder).optimize(_documents(spark, args.docs, args.cache_dir), candidate_names=args.candidates or None, on_progress=lambda m, k: log.info("%s: %s", k, m))
     found.plan.write(args.out)
     if args.report:
         Path(args.report).write_text(found.to_json(), encoding="utf-8")
@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     o.add_argument("--candidates", nargs="*", help="names of strategies; all by default")
     o.add_argument("--out", default="best_plan.yaml")
     o.add_argument("--report", help="path of a JSON report")
-    o.add_argument("--cache-dir", default=None, help="folder of cached questions")
+    o.add_argument("--cache-dir", default=None, help="folder of cached texts and questions")
     o.add_argument("--no-proxy", action="store_true", help="all documents compete, not a sample")
     o.set_defaults(run=optimize)
     a = commands.add_parser("apply", help="chunk documents by a saved plan")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bpe import bpe_count, bpe_tokens
+
 MARKS = r".,!?;:'\"()\[\]{}"
 TOKEN_COUNT = rf"[{MARKS}]|[^\s{MARKS}]+"
 TOKEN_ALL = rf"((?U)\s+|[{MARKS}]|[^\s{MARKS}]+)"
@@ -24,8 +26,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def tokens(text: Column, tokenizer: str = "whitespace") -> Column:
-    """All pieces of the text in order, white space too; joined, they give the text again. ``character`` gives its characters."""
+def tokens(text: Column, tokenizer: str = "whitespace", vocabulary: str | None = None) -> Column:
+    """All pieces of the text in order, white space too; joined, they give the text again. ``character`` gives its characters, ``tiktoken`` the tokens of a vocabulary file; ``auto`` is that where a file is given, else white space."""
+    if tokenizer == "auto":
+        tokenizer = "tiktoken" if vocabulary else "whitespace"
+    if tokenizer == "tiktoken":
+        return bpe_tokens(text, _given(vocabulary))
     if tokenizer == "character":
         return F.filter(F.split(text, ""), lambda x: x != "")
     if tokenizer != "whitespace":
@@ -33,12 +39,22 @@ def tokens(text: Column, tokenizer: str = "whitespace") -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_ALL), F.lit(1))
 
 
+def _given(vocabulary: str | None) -> str:
+    if not vocabulary:
+        raise ValueError("tiktoken needs a vocabulary file")
+    return vocabulary
+
+
 def detokenize(pieces: Column) -> Column:
     return F.array_join(pieces, "")
 
 
-def count_tokens(text: Column, tokenizer: str = "whitespace") -> Column:
-    """Number of pieces that aren't white space; 0 for null."""
+def count_tokens(text: Column, tokenizer: str = "whitespace", vocabulary: str | None = None) -> Column:
+    """Number of pieces that aren't white space, or of a vocabulary's tokens; 0 for null."""
+    if tokenizer == "tiktoken" or tokenizer == "auto" and vocabulary:
+        return bpe_count(text, _given(vocabulary))
+    if tokenizer not in ("auto", "whitespace", "character"):
+        raise ValueError(f"unknown tokenizer: {tokenizer}")
     pattern = r"(?U)(?s)\S" if tokenizer == "character" else "(?U)" + TOKEN_COUNT
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("bigint")
 

@@ -20,7 +20,7 @@ CHUNK = "doc_id string, chunk_id string, chunk_index int, text string, strategy
 LLM = Callable[[str, str], str]
 
 
-def _finish(rows: DataFrame, suffix: str, strategy: str, count: Column) -> DataFrame:
+def _finish(rows: DataFrame, suffix: str, strategy: str, count: Column, meta: Column | None = None) -> DataFrame:
     """rows has (doc_id, chunk_index, text)."""
     return rows.select(
         F.col("doc_id").cast("string").alias("doc_id"),
@@ -29,29 +29,35 @@ def _finish(rows: DataFrame, suffix: str, strategy: str, count: Column) -> DataF
         "text",
         F.lit(strategy).alias("strategy"),
         count.cast("int").alias("token_count"),
-        F.expr("cast(map() as map<string,string>)").alias("meta"),
+        (F.expr("cast(map() as map<string,string>)") if meta is None else meta).alias("meta"),
     )
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, starts: Column, base: int) -> DataFrame:
-    """Windows of ``base`` tokens at the starts of array column t, cut before the rows multiply."""
-    t = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("t"))
+def _windows(docs: DataFrame, id_col: str, text_col: str, starts: Column, base: int, step: int, tokenizer: str = "whitespace", vocabulary: str | None = None) -> DataFrame:
+    """Windows of ``base`` tokens at the starts of array column t, every ``step``, cut before the rows multiply; at is a column of their character offsets."""
+    t = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col), tokenizer, vocabulary).alias("t"))
     piece = F.transform(starts, lambda s: F.struct(F.array_join(F.slice("t", s + 1, F.lit(base)), "").alias("text"), F.least(F.lit(base), F.size("t") - s).alias("n"), s.alias("s")))
-    return t.select("doc_id", F.posexplode(F.when(F.size("t") > 0, piece)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.text", "c.n", "c.s")
+    steps = F.transform(starts, lambda s: F.length(F.array_join(F.slice("t", s + 1, F.lit(step)), "")))
+    cut = t.select("doc_id", steps.alias("steps"), F.posexplode(F.when(F.size("t") > 0, piece)).alias("chunk_index", "c"))
+    at = F.aggregate(F.slice("steps", F.lit(1), F.col("chunk_index")), F.lit(0), lambda a, x: a + x)
+    return cut.select("doc_id", "chunk_index", "c.text", "c.n", "c.s", at.alias("at"))
 
 
-def fixed_length(docs: DataFrame, base_token_size: int = 512, overlap: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Windows of tokens, white space counted too, every ``base - overlap``; the last ones may be the end of the one before."""
+def fixed_length(
+    docs: DataFrame, base_token_size: int = 512, overlap: int = 64, add_start_index: bool = False, tokenizer: str = "whitespace", vocabulary: str | None = None, id_col: str = "id", text_col: str = "text"
+) -> DataFrame:
+    """Windows of tokens, white space counted too, every ``base - overlap``; the last ones may be the end of the one before. ``add_start_index`` puts the character offset in meta."""
     step = max(1, base_token_size - overlap)
-    rows = _windows(docs, id_col, text_col, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("t") - 1), F.lit(step)), base_token_size)
-    return _finish(rows, "fl", "fixed_length", F.col("n"))
+    rows = _windows(docs, id_col, text_col, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("t") - 1), F.lit(step)), base_token_size, step, tokenizer, vocabulary)
+    meta = F.create_map(F.lit("start_index"), F.col("at").cast("string")) if add_start_index else None
+    return _finish(rows, "fl", "fixed_length", F.col("n"), meta)
 
 
 def token_windows(docs: DataFrame, base_token_size: int = 512, overlap: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Like fixed_length, but the first window that reaches the end is the last."""
     step = max(1, base_token_size - overlap)
     last = F.greatest(F.lit(0), F.ceil((F.size("t") - base_token_size) / step).cast("int")) * step
-    rows = _windows(docs, id_col, text_col, F.sequence(F.lit(0), last, F.lit(step)), base_token_size)
+    rows = _windows(docs, id_col, text_col, F.sequence(F.lit(0), last, F.lit(step)), base_token_size, step)
     return _finish(rows, "lc_tk", "langchain_token", F.col("n"))
 
 
@@ -129,7 +135,7 @@ def agentic(docs: DataFrame, llm_fn: LLM | None = None, max_sentences_per_call:
 
 
 def _sequential(docs: DataFrame, split: Callable[[str, str], list[S.Piece]], suffix: str, strategy: str, id_col: str, text_col: str) -> DataFrame:
-    """Chunks from a function of (id, text); a null or empty text gives none."""
+    """Chunks from a function of (id, text); a null or empty text gives none. A text that the function fails on gives one row of the strategy ``error``, without a text, that says why; the rest goes on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "chunk_id", "chunk_index", "text", "strategy", "token_count", "meta"]
@@ -138,7 +144,12 @@ def _sequential(docs: DataFrame, split: Callable[[str, str], list[S.Piece]], suf
             for ident, text in f.itertuples(index=False):
                 if not isinstance(text, str) or not text:
                     continue
-                for k, (body, meta) in enumerate(split(ident, text)):
+                try:
+                    pieces = list(split(ident, text))
+                except Exception as e:
+                    rows.append((ident, f"{ident}#{suffix}#error", -1, None, "error", 0, {"error": f"{type(e).__name__}: {e}"[:500]}))
+                    continue
+                for k, (body, meta) in enumerate(pieces):
                     meta = dict(meta)
                     i, n = meta.pop("index", k), meta.pop("token_count", None)
                     rows.append((ident, f"{ident}#{suffix}#{i}", i, body, meta.pop("strategy", strategy), S.count(body) if n is None else n, {a: str(b) for a, b in meta.items() if b is not None}))

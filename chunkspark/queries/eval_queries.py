@@ -198,11 +198,12 @@ def judge_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tournament's whole grid over all documents, with synthetic questions of every document and noise chunks."""
+    """The tournament's whole grid over all documents, with synthetic questions of every document and noise chunks; a strategy that makes no chunks of prose, as that for JSON, has no row."""
     docs = from_table(table(spark, sf_dir, "documents"), "doc_id")
     optimizer = ChunkOptimizer(Config(mode="full"))
     questions = qa.synthetic_questions(docs).dropDuplicates(["id"])
     rows, failed = optimizer.compete(docs, questions, grid({".txt"}), lambda *_: None)
-    if failed:
-        raise RuntimeError(str(failed))
+    broken = [f for f in failed if not f["error"].endswith("gave no chunks")]
+    if broken:
+        raise RuntimeError(str(broken))
     return M.leaderboard(spark.createDataFrame(rows))

@@ -52,6 +52,18 @@ def test_fixed_length_covers_text(spark):
     assert len(got) == -(-99 // 8) and got[0].text == "".join(f"w{i} " for i in range(5))
 
 
+def test_start_index_and_byte_pairs(spark):
+    long = " ".join(f"wörd{i}" for i in range(50))
+    for r in C.fixed_length(docs(spark, long), 10, 2, add_start_index=True).collect():
+        assert long[int(r.meta["start_index"]) :].startswith(r.text)
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    row = docs(spark, long).select(T.tokens(F.col("text"), "tiktoken", path).alias("t"), T.count_tokens(F.col("text"), "auto", path).alias("n"), T.count_tokens(F.lit(None), "tiktoken", path).alias("z")).first()
+    assert len(row.t) == row.n and "".join(row.t) == long and row.z == 0
+    assert "".join(r.text for r in C.fixed_length(docs(spark, long), 7, 0, tokenizer="tiktoken", vocabulary=path).orderBy("chunk_index").collect()) == long
+    with pytest.raises(ValueError):
+        T.tokens(F.col("text"), "tiktoken")
+
+
 def test_recursive_rules():
     assert S.recursive("short text", 10, 0) == [("short text", {"index": 0})]
     out = [p for p, _ in S.recursive("a b c. d e f. g h i. ", 4, 0)]

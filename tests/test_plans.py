@@ -20,7 +20,7 @@ from chunkspark.operators.embed import FunctionEncoder, HttpEncoder
 from chunkspark.plans.config import Config, PostProcessing, ProxyConfig, SafetyConstraints
 from chunkspark.plans.plan import HaystackComponent, LangChainSplitter, LlamaIndexParser, Plan
 from chunkspark.plans.tournament import Candidate, ChunkOptimizer, post_process
-from chunkspark.sources.documents import from_table, list_files
+from chunkspark.sources.documents import from_table, list_files, load_documents
 
 BODY = " ".join(f"Fact {i} is about item{i} and thing{i}." for i in range(40))
 
@@ -138,6 +138,36 @@ def test_command_line(spark, tmp_path):
     assert [r.path for r in list_files(spark, str(tmp_path / "docs")).collect()] == ["0.txt", "1.txt", "2.txt"]
     with pytest.raises(SystemExit):
         main(["apply"], spark)
+    with pytest.raises(SystemExit):
+        main(["apply", "--plan", plan, "--docs", str(tmp_path / "none")], spark)
+
+
+def test_pdf_readers_and_text_cache(spark, tmp_path):
+    root, cache = tmp_path / "docs", str(tmp_path / "cache")
+    root.mkdir()
+    (root / "a.pdf").write_bytes(b"PDF a")
+    (root / "b.txt").write_text("plain b")
+    plain = lambda raw: raw.decode().lower()
+
+    def markdown(raw):
+        if b"broken" in raw:
+            raise ValueError("no")
+        return "# " + raw.decode()
+
+    read = lambda **k: {r.path.rsplit("/", 1)[-1]: (r.text, r.raw_text) for r in load_documents(spark, str(root), **k).collect()}
+    assert read() == {"b.txt": ("plain b", "plain b")}
+    assert read(pdf_reader=markdown)["a.pdf"] == ("# PDF a", "# PDF a")
+    assert read(pdf_reader=markdown, pdf_raw_reader=plain)["a.pdf"] == ("# PDF a", "pdf a")
+    assert read(pdf_reader=markdown, pdf_raw_reader=plain, high_fidelity=False)["a.pdf"] == ("pdf a", "pdf a")
+    (root / "c.pdf").write_bytes(b"broken")
+    assert read(pdf_reader=markdown, pdf_raw_reader=plain)["c.pdf"] == ("broken", "broken")
+    first = read(pdf_reader=markdown, pdf_raw_reader=plain, cache_dir=cache)
+    assert read(pdf_reader=lambda _: "other", cache_dir=cache) == first  # all from the cache
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.bin").write_text("x")
+    with pytest.raises(RuntimeError):
+        load_documents(spark, str(tmp_path / "empty"))
+    assert load_documents(spark, str(tmp_path / "empty"), require=False).count() == 0
 
 
 def test_streams(spark, tmp_path):
@@ -163,3 +193,14 @@ def test_custom_encoder_limits(spark):
     from chunkspark.operators.embed import embed
 
     assert embed(docs(spark, "x" * 50).withColumnRenamed("id", "chunk_id"), seen).first().vec == [10.0]
+
+
+def test_a_document_that_fails_does_not_stop_the_rest(spark):
+    def rule(text):
+        if "bad" in text:
+            raise ValueError("no good")
+        return [(text, {})]
+
+    made = C._plain(rule, "x", "own")(docs(spark, "fine", "bad", "well")).collect()
+    assert sorted((r.doc_id, r.text, r.strategy) for r in made if r.text) == [("0", "fine", "own"), ("2", "well", "own")]
+    assert [(r.doc_id, r.chunk_index, r.meta["error"]) for r in made if r.strategy == "error"] == [("1", -1, "ValueError: no good")]

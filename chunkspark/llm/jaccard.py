@@ -53,7 +53,7 @@ def minima(rows: int, row: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 def children(key: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(position in key, child's key) of the tokens that are followed from each bucket; tokens of 16 bits, or wider ones for the roots."""
+    """(position in key, child's key) of the tokens that are followed from each bucket; tokens of 8 bits, or wider ones for the roots."""
     place = np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * WIDTH))))
     out_row, out_key = [], []
@@ -105,7 +105,7 @@ def meeting(equal: int, levels: int, threshold: float) -> float:
     return meet
 
 
-def runs_enough(levels: int, threshold: float, miss: float = 1e-4) -> np.ndarray:
+def runs_enough(levels: int, threshold: float, miss: float = 1e-3) -> np.ndarray:
     """For each number of equal tokens the runs after which all but ``miss`` of such pairs have met; later ones needn't suggest them again."""
     meet = np.array([meeting(k, levels, threshold) for k in range(WIDTH + 1)])
     return np.ceil(np.log(miss) / np.log1p(-np.clip(meet, 1e-9, 1 - 1e-12))).astype(np.int64)
@@ -151,7 +151,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
 
 
 def _tokens(column: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, WIDTH)
 
 
 def _suggested(key: np.ndarray, tokens: np.ndarray, threshold: float, slack: float, limit: int, depth: int, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,6 +200,7 @@ def _candidates(buckets: DataFrame, threshold: float, slack: float, limit: int,
                     held, rows = [], 0
             if rows:
                 yield flush(held, key, ident, first, size)
+        K.release()
 
     return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, home bigint")
 
@@ -247,6 +248,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 x, y, j = check(a[k], b[k].astype(np.float64).astype(np.int64) if b.dtype == object else b[k], number, pair, np.cumsum(size) - size, size)
                 ok = j >= threshold
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok].astype(np.int64)), pa.array(y[ok].astype(np.int64)), pa.array(j[ok])], ["a", "b", "jaccard"])
+        K.release()
 
     return rows.withColumn("b", F.coalesce("b", F.lit(-1))).repartition("home").sortWithinPartitions("home").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
@@ -269,7 +271,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: int
             order = np.argsort(at, kind="stable")
             ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(texts))))).astype(np.int32)
             paths = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64)))
-            tokens = (wide >> np.uint64(48)).astype(np.uint16)
+            tokens = (wide >> np.uint64(56)).astype(np.uint8)
             return [size, one, two, pa.array([t.tobytes() for t in tokens], pa.binary()), paths]
 
         return run

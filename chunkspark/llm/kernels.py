@@ -8,7 +8,9 @@ worked on in parts where a kernel says so.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -221,3 +223,10 @@ def letter_parts(text: pa.Array) -> Iterator[np.ndarray]:
         sym = letter_table()[np.frombuffer(data[a:b].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
         yield sym[(sym > 0) | (np.concatenate(([before], sym[:-1])) > 0)]
         a, before = b, int(sym[-1])
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine: its worker waits for the next one."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -91,6 +91,7 @@ def map_text(df: DataFrame, keep: list[str], text_col: str, make: Callable[[], C
             for a, b in K.slices(texts):
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), *made], names)
+        K.release()
 
     return small_batches(df).select(*map(quoted, keep), *[quoted(text_col)] * (at == n)).mapInArrow(run, extend(head, ddl))
 

@@ -11,6 +11,7 @@ from chunkspark import streaming
 from chunkspark.__main__ import main
 from chunkspark.operators import chunkers as C
 from chunkspark.operators import dedup as D
+from chunkspark.operators import judge
 from chunkspark.operators import overlap as O
 from chunkspark.operators import qa
 from chunkspark.operators import quality as Q
@@ -103,7 +104,10 @@ def test_post_processing(spark):
 def test_mixed_queries(spark):
     texts = [f"Some longer sentence number {i} about gardens and rivers." for i in range(60)]
     rows = docs(spark, *texts).select("text", qa.mixed(F.col("text")).alias("m"), qa.mixed(F.col("text")).alias("n"), qa.rewrite(F.col("text"), "keywords").alias("k")).collect()
-    assert all(r.m == r.n and r.m in (r.text, r.k) for r in rows) and 20 < sum(r.m == r.k for r in rows) < 60
+    assert all(r.m == r.n and r.m in (r.text, r.k) for r in rows) and 40 < sum(r.m == r.k for r in rows) < 60
+    other = docs(spark, *texts).select("text", qa.mixed(F.col("text"), "", str.upper).alias("m")).collect()
+    assert 25 < sum(r.m == r.text.upper() for r in other) < 55
+    assert docs(spark, "x").select(qa.paraphrase(F.col("text"), lambda t: 1 / 0).alias("p")).first().p == "x"
 
 
 def test_encoders():
@@ -204,3 +208,36 @@ def test_a_document_that_fails_does_not_stop_the_rest(spark):
     made = C._plain(rule, "x", "own")(docs(spark, "fine", "bad", "well")).collect()
     assert sorted((r.doc_id, r.text, r.strategy) for r in made if r.text) == [("0", "fine", "own"), ("2", "well", "own")]
     assert [(r.doc_id, r.chunk_index, r.meta["error"]) for r in made if r.strategy == "error"] == [("1", -1, "ValueError: no good")]
+
+
+def test_judge(spark):
+    rows = [("q1", "who?", "Tom", ["Tom did", "nobody", "Tom too"]), ("q2", "what?", "x", ["no"]), ("q3", "bad", "y", ["z"])]
+    data = spark.createDataFrame(rows, "qid string, question string, ground_truth string, contexts array<string>")
+
+    def model(system, user):
+        if "Question: bad" in user:
+            return "no JSON"
+        if user.startswith("Question"):
+            return json.dumps({"useful": int("Context: Tom" in user)})
+        return 'Sure: {"share": 0.5}'
+
+    got = {r.qid: r for r in judge.judge(data, model).collect()}
+    assert got["q1"].context_precision == (1 + 2 / 3) / 2 and got["q2"].context_precision == 0 and got["q1"].context_recall == 0.5
+    assert got["q3"].context_recall is None and "ValueError" in got["q3"].error
+    assert judge.summary(judge.judge(data, None, 2)).first().n_errors == 2
+
+
+def test_choice_of_the_judge(monkeypatch):
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    assert judge.choose_model(probe=lambda _: False) is None and judge.choose_model(probe=lambda _: True).model == "llama3.2"
+    assert judge.choose_model(api_key="k", probe=lambda _: True).model == "gpt-4o-mini" and judge.choose_model("ollama", "m").model == "m"
+    with pytest.raises(ValueError):
+        judge.choose_model("nothing")
+
+
+def test_overlap_recommendations(spark):
+    c = spark.createDataFrame([("d", k, f"d#{k}", f"Sentence {k} is here", {"a": "b"}) for k in range(3)] + [("e", 0, "e#0", "Alone.", {})], "doc_id string, chunk_index int, chunk_id string, text string, meta map<string,string>")
+    got = {r.chunk_id: r.meta for r in O.recommend(c, O.analyse(c, "sentence")).collect()}
+    assert got["d#0"] == {"a": "b", "overlap_to_next": "75", "overlap_optimized": "true"} and got["e#0"] == {"overlap_optimized": "true"}
+    assert got["d#1"]["overlap_from_prev"] == "75" and set(got["d#2"]) == {"a", "overlap_from_prev", "overlap_optimized"}
+    assert {r.doc_id: r.summary for r in O.summaries(docs(spark, "abc", None), lambda t: t[:1]).collect()} == {"0": "a", "1": None}

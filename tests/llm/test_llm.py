@@ -657,26 +657,6 @@ def test_license_cosine_brute_force():
         assert abs(top[k] - (found if found >= 0.6 else 0)) < 1e-8 and (which[k] >= 0) == (found >= 0.6)
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as P
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = docs.withColumn("accepted", F.lit("clash")).unionByName(docs.limit(1).withColumn("accepted", F.lit("clash")))
-    for name, stage in P.STAGES[:-1]:
-        after = stage(spark, kept, d)
-        assert after.columns == kept.columns, name
-        kept = after.checkpoint()
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
-    assert jaccard.jaccard_join(kept).count() == 0 and decontam.contaminated(kept, spark.read.parquet(f"{d}/benchmark.parquet")).count() == 0
-    bare = docs.limit(0)
-    for _, stage in P.STAGES:
-        assert stage(spark, bare, d).count() == 0
-    packed = P.run(spark, d)
-    assert packed.select(F.countDistinct("doc_id")).first()[0] > 0
-
-
 def test_queries_are_registered():
     import __spark_entry__
 

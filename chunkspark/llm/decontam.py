@@ -10,7 +10,7 @@ templates is not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ class Lexicon:
         return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def tokens(raw: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word hash, type, whether it goes on with the number or name of the word before) of the words of texts in their own case; type 0 is a literal."""
+def tokens(raw: pa.Array, lexicon: Lexicon, number_before: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word hash, type, whether it goes on with the number or name of the word before) of the words of texts in their own case; type 0 is a literal. ``number_before`` tells whether a number comes before the first word."""
     lower = pc.utf8_lower(raw)
     data, offsets = K.buffers(raw)
     small, small_offsets = K.buffers(lower)
@@ -60,7 +60,7 @@ def tokens(raw: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.
     number = (digits[w.end] > digits[w.start]) | lexicon.among(w.hash, lexicon.numbers)
     kind[number] = _NUM
     after = np.zeros(len(kind), bool)
-    after[1:] = number[:-1] & (w.doc[1:] == w.doc[:-1])
+    after[0], after[1:] = number_before, number[:-1] & (w.doc[1:] == w.doc[:-1])
     kind[after & ~number & lexicon.among(w.hash, lexicon.units)] = _UNIT
     on = np.zeros(len(kind), bool)
     gap, between = w.start[1:] - w.end[:-1], data[np.minimum(w.end[:-1], len(data) - 1)]
@@ -104,10 +104,8 @@ def least_literals(size: int) -> int:
     return max(2, -(-size // 3))
 
 
-def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[int], wanted: np.ndarray | None, whole_short: bool) -> DataFrame:
-    """Windows as (id, stream, n, h, pos, slots, words), pos and words in tokens of their stream: slots has the words at placeholders, their type in the low two bits, 0 elsewhere, for templates, else null."""
-    head = df.select(quoted(id_col).alias("id"))
-    schema = extend(head, "stream int, n int, h bigint, pos int, slots array<bigint>, words int")
+def _emitter(size: int, lengths: list[int], wanted: np.ndarray | None, whole_short: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (id, text) to batches of windows."""
     kinds = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,37 +113,71 @@ def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[in
         if wanted is not None:
             seen = np.zeros(1 << 22, bool)
             seen[wanted >> np.uint64(42)] = True
+
+        def found(ids: pa.Array, doc: np.ndarray, h: np.ndarray, kind: np.ndarray, streams: tuple[int, ...], begin: np.ndarray, old: int = 0) -> Iterator[pa.RecordBatch]:
+            """Windows whose last token isn't among the first ``old`` ones; begin has the number of each row's first token."""
+            total = np.bincount(doc, minlength=len(ids))
+            for n in lengths:
+                for stream, at, g in windows(doc, h, kind, n, streams):
+                    if whole_short:  # a text shorter than the window size is one window of its own length
+                        there = np.flatnonzero((total[doc[at]] == n) if n < size else (total[doc[at]] >= size))
+                    else:
+                        there = np.flatnonzero(seen[g >> np.uint64(42)]) if wanted is not None else np.arange(len(g))
+                        if wanted is not None:
+                            there = there[Lexicon.among(g[there], wanted)]
+                    there = there[at[there] + n > old]
+                    if not len(there):
+                        continue
+                    at, g = at[there], g[there]
+                    if stream != _WORDS:
+                        grid = at[:, None] + np.arange(n)
+                        value = np.where(kind[grid] > 0, (h[grid] & ~np.uint64(3) | kind[grid].astype(np.uint64)).view(np.int64), 0)
+                        slots = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(value.ravel())).cast(kinds)
+                    else:
+                        slots = pa.nulls(len(at), kinds)
+                    row = doc[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(row)), *(pa.array(np.full(len(at), x, np.int32)) for x in (stream, n)), pa.array(g.view(np.int64)), pa.array((at - begin[row]).astype(np.int32)), slots, pa.array(total[row].astype(np.int32))],
+                        ["id", "stream", "n", "h", "pos", "slots", "words"],
+                    )
+
+        def in_parts(ids: pa.Array, raw: pa.Array) -> Iterator[pa.RecordBatch]:
+            """The same of one long text: each part is led by the last tokens before it."""
+            number, none = False, (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+            tails, counts = [none, none], [0, 0]
+            for part in K.text_parts(raw):
+                words = tokens(part, lexicon, number)
+                number = bool(words[2][-1] == _NUM) if len(words[2]) else number
+                for k, ((_, h, kind), streams) in enumerate(((words[:3], (_WORDS, _TEMPLATE)), (shortened(*words), (_SHORT,)))):
+                    old = len(tails[k][0])
+                    h, kind = np.concatenate((tails[k][0], h)), np.concatenate((tails[k][1], kind))
+                    yield from found(ids, np.zeros(len(h), np.int64), h, kind, streams, np.array([old - counts[k]]), old)
+                    counts[k] += len(h) - old
+                    keep = max(0, len(h) - size + 1)
+                    tails[k] = h[keep:], kind[keep:]
+
         for batch in batches:
             raw = K.plain(batch.column(1), lower=False)
             for a, b in K.slices(raw):
+                ids = batch.column(0).slice(a, b - a)
+                if K.is_long(raw[a:b]) and not whole_short:
+                    yield from in_parts(ids, raw[a:b])
+                    continue
                 words = tokens(raw[a:b], lexicon)
                 for (doc, h, kind), streams in ((words[:3], (_WORDS, _TEMPLATE)), (shortened(*words), (_SHORT,))):
-                    total = np.bincount(doc, minlength=b - a)
-                    begin = np.concatenate(([0], np.cumsum(total)))
-                    for n in lengths:
-                        for stream, at, g in windows(doc, h, kind, n, streams):
-                            if whole_short:  # a text shorter than the window size is one window of its own length
-                                there = np.flatnonzero((total[doc[at]] == n) if n < size else (total[doc[at]] >= size))
-                            else:
-                                there = np.flatnonzero(seen[g >> np.uint64(42)]) if wanted is not None else np.arange(len(g))
-                                if wanted is not None:
-                                    there = there[Lexicon.among(g[there], wanted)]
-                            if not len(there):
-                                continue
-                            at, g = at[there], g[there]
-                            if stream != _WORDS:
-                                grid = at[:, None] + np.arange(n)
-                                value = np.where(kind[grid] > 0, (h[grid] & ~np.uint64(3) | kind[grid].astype(np.uint64)).view(np.int64), 0)
-                                slots = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(value.ravel())).cast(kinds)
-                            else:
-                                slots = pa.nulls(len(at), kinds)
-                            row = doc[at]
-                            yield pa.RecordBatch.from_arrays(
-                                [batch.column(0).take(pa.array(row + a)), *(pa.array(np.full(len(at), x, np.int32)) for x in (stream, n)), pa.array(g.view(np.int64)), pa.array((at - begin[row]).astype(np.int32)), slots, pa.array(total[row].astype(np.int32))],
-                                ["id", "stream", "n", "h", "pos", "slots", "words"],
-                            )
-
-    return small_batches(df).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, schema)
+                    begin = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b - a))))
+                    yield from found(ids, doc, h, kind, streams, begin)
+        K.release()
+
+    return run
+
+
+def _emit(df: DataFrame, id_col: str, text_col: str, size: int, lengths: list[int], wanted: np.ndarray | None, whole_short: bool) -> DataFrame:
+    """Windows as (id, stream, n, h, pos, slots, words), pos and words in tokens of their stream: slots has the words at placeholders, their type in the low two bits, 0 elsewhere, for templates, else null."""
+    head = df.select(quoted(id_col).alias("id"))
+    schema = extend(head, "stream int, n int, h bigint, pos int, slots array<bigint>, words int")
+
+    return small_batches(df).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(_emitter(size, lengths, wanted, whole_short), schema)
 
 
 def contaminated(

@@ -144,6 +144,29 @@ def hash_parts(texts: pa.Array, before: int) -> Iterator[np.ndarray]:
         tail = h[max(0, len(h) - before) :] if before else h[:0]
 
 
+def text_parts(text: pa.Array, at_blank_lines: bool = False) -> Iterator[pa.Array]:
+    """One long text in parts of about ``BLOCK`` bytes, cut after a line feed or between two bytes that belong to no word; with ``at_blank_lines`` after a line without words, if there is one within eight blocks, else as before."""
+    data, _ = buffers(text)
+    a = 0
+    while a < len(data):
+        b, cut = min(len(data), a + BLOCK), 0
+        while b < len(data) and not cut:
+            d = data[a:b]
+            feed = np.flatnonzero(d == 10) + 1
+            if at_blank_lines and b - a < 8 * BLOCK:
+                before = np.concatenate(([0], np.cumsum(_WORD[d], dtype=np.int32)))
+                feed = feed[1:][before[feed[1:]] == before[feed[:-1]]]
+                cut = int(feed[-1]) if len(feed) else 0
+            else:
+                apart = np.flatnonzero(~_WORD[d[1:]] & ~_WORD[d[:-1]]) + 1
+                cut = max(int(feed[-1]) if len(feed) else 0, int(apart[-1]) if len(apart) else 0)
+            if not cut:
+                b = min(len(data), b + BLOCK)
+        b = a + cut if cut else b
+        yield pa.array([data[a:b].tobytes()], pa.binary()).cast(pa.string())
+        a = b
+
+
 def word_hash(word: str) -> int:
     """The hash that ``words`` gives to this lower-case word."""
     data = np.frombuffer(word.encode(), np.uint8)

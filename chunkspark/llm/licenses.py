@@ -51,6 +51,12 @@ def document_frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> t
             texts = K.plain(batch.column(0))
             rows += len(texts)
             for a, b in K.slices(texts):
+                if K.is_long(texts[a:b]):
+                    seen = np.zeros(len(vocab) + 1, bool)
+                    for h in K.hash_parts(texts[a:b], 0):
+                        seen[_look(h, vocab)] = True
+                    total += seen[:-1]
+                    continue
                 w = K.words(*K.buffers(texts[a:b]))
                 at = _look(w.hash, vocab)
                 key = np.unique(w.doc[at >= 0] * len(vocab) + at[at >= 0])
@@ -80,10 +86,13 @@ class Scorer:
         """(segment, cosine, template) of the segments that reach a template's floor: the best one of each; seg is the rising number of each word's segment, at its word or -1."""
         count, inside, n = int(seg[-1]) + 1, at >= 0, len(self.vocab)
         key, times = np.unique(seg[inside] * n + at[inside], return_counts=True)
-        s, word = key // n, key % n
+        return self.best_of(count, key // n, key % n, times, np.bincount(seg[~inside], minlength=count))
+
+    def best_of(self, count: int, s: np.ndarray, word: np.ndarray, times: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same from the times that each segment has each word, and words outside the vocabulary."""
         value = times * self.idf[word]
         own = np.bincount(s, weights=value**2, minlength=count)
-        norm = np.sqrt(own + self.other**2 * np.bincount(seg[~inside], minlength=count))
+        norm = np.sqrt(own + self.other**2 * outside)
         able = np.sqrt(own) >= self.floor * norm - 1e-9  # no cosine is above the vocabulary's share
         able &= own > 0
         left = able[s]
@@ -94,7 +103,7 @@ class Scorer:
         for t, (words, weights) in enumerate(self.parts):
             if not len(which):
                 break
-            weight = np.zeros(n)
+            weight = np.zeros(len(self.vocab))
             weight[words] = weights
             w = weight[word]
             there = w > 0
@@ -105,7 +114,22 @@ class Scorer:
         return which[ok], top[ok], found[ok]
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, template or -1) of the best segment of each lower-case text: its lines, its blocks between lines without words, the whole, and windows of lines that overlap by half."""
+        """(cosine, template or -1) of the best segment of each lower-case text: its lines, its blocks between lines without words, the whole, and windows of lines that overlap by half. A long text is cut in parts between blocks where it can be; windows begin anew in each part."""
+        if not K.is_long(texts) or not self.names:
+            return self._score(texts)
+        top, which, times, outside = np.zeros(1), np.full(1, -1), np.zeros(len(self.vocab), np.int64), 0
+        for part in K.text_parts(texts, at_blank_lines=True):
+            high, pick = self._score(part, whole=False)
+            if high[0] > top[0] + 1e-9:
+                top, which = high, pick
+            at = _look(K.words(*K.buffers(part)).hash, self.vocab)
+            times += np.bincount(at[at >= 0], minlength=len(times))
+            outside += int((at < 0).sum())
+        word = np.flatnonzero(times)
+        _, high, pick = self.best_of(1, np.zeros(len(word), np.int64), word, times[word], np.array([outside]))
+        return (np.round(high, 9), pick) if len(high) and high[0] > top[0] + 1e-9 else (top, which)
+
+    def _score(self, texts: pa.Array, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = K.buffers(texts)
         w = K.words(data, offsets)
         rows = len(texts)
@@ -133,7 +157,8 @@ class Scorer:
 
         offer(fresh | (step > 0))
         offer(fresh | (step > 1))
-        offer(fresh)
+        if whole:
+            offer(fresh)
         rich = np.bincount(w.doc[at >= 0], minlength=rows) >= 12  # windows are for notices of several lines
         picked = np.flatnonzero(rich[w.doc])
         if len(picked):

@@ -131,11 +131,16 @@ LONG = """
 import resource, sys
 import numpy as np, pyarrow as pa
 sys.path.insert(0, %r)
-from chunkspark.llm import kernels as K, langid, quality, toxicity
-base = "The old mill near the river, with 3 cats and a dog. "
+from chunkspark.llm import decontam, kernels as K, langid, licenses, quality, toxicity
+base = "The old Mill near the river, with 3 cats and a dog. It is licensed to New York.\\n"
 text = pa.array([(base * (int(sys.argv[1]) // len(base) + 1)).lower()])
 start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 langid.Space().bundle(text), quality.features(text), toxicity.occurrences(text, 20), K.gram_sets(*K.buffers(text), 3, 44)
+templates = licenses.TEMPLATES
+vocab = licenses.vocabulary(templates)
+licenses.Scorer(templates, np.full(len(templates), 0.6), vocab, np.full(len(vocab), 2.0), 1.5).score(text)
+for part in K.text_parts(text):
+    decontam.shortened(*decontam.tokens(part, decontam.Lexicon()))
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start)
 """
 
@@ -158,6 +163,36 @@ def test_parts_give_what_whole_texts_give(monkeypatch):
             assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(f(t), want, strict=True))
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Decontamination and license scans of long texts, cut in small parts: as of whole ones."""
+    filler = ". ".join(made(41, 60, 12))
+    changed = ITEM.replace("3 apples", "1,250 apples").replace("Tom", "Bob")
+    texts = [f"{filler}. {ITEM} {filler}", f"{filler}\n{changed}\n{filler}", f"{filler}\n\n{MIT}\n\n{filler}", filler, f"it was 5\nkm {filler}"]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id int, text string")
+    found = lambda: sorted(map(tuple, decontam.contaminated(docs(spark, texts), bench).collect()))
+    templates = licenses.TEMPLATES
+    vocab = licenses.vocabulary(templates)
+    scores = licenses.Scorer(templates, np.full(len(templates), 0.6), vocab, np.full(len(vocab), 2.0), 1.5)
+    scored = lambda: [scores.score(K.plain(pa.array([t]))) for t in texts]
+    whole, marks = found(), scored()
+    assert [r[:2] for r in whole] == [(0, 1), (1, 1)] and marks[2][1][0] >= 0 and marks[3][1][0] < 0
+    lexicon = decontam.Lexicon()
+    kinds = [decontam.tokens(pa.array([t]), lexicon)[2].tolist() for t in texts]
+    monkeypatch.setattr(K, "BLOCK", 100)
+    for t, want in zip(texts, kinds, strict=True):
+        parts, number, got = list(K.text_parts(pa.array([t]))), False, []
+        for p in parts:
+            got += decontam.tokens(p, lexicon, number)[2].tolist()
+            number = got[-1] == 1 if got else False
+        assert "".join(p[0].as_py() for p in parts) == t and got == want and len(parts) > 20
+    assert all(abs(x[0][0] - y[0][0]) < 1e-6 and x[1][0] == y[1][0] for x, y in zip(scored(), marks, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    emitted = lambda: sorted((r["id"], r["stream"], r["n"], r["h"], r["pos"], r["slots"]) for b in decontam._emitter(8, [4, 8], None, False)([batch]) for r in b.to_pylist())
+    parts = emitted()
+    monkeypatch.undo()
+    assert parts == emitted()
+
+
 def test_jaccard_join_brute_force(spark):
     base = made(1, 120)
     rng = random.Random(2)

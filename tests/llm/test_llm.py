@@ -282,6 +282,39 @@ def test_similarity_classes_of_one_hot_bucket(spark):
     assert len(got) == 120 and {(r.class_id, r.copies, r.links) for r in got} == {(0, 0, 119)}
 
 
+def test_similarity_classes_of_a_large_group(spark, monkeypatch):
+    """The written rows of many near copies grow with the copies, not with their pairs, and no link is lost: within a hub, between hubs and with sets outside."""
+    rng, base = random.Random(31), made(32, 41, 70)
+    texts = base[1:]
+    for k in range(400):
+        w = base[k % 5 == 0].split()
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = "changed" + str(rng.random())[2:6]
+        texts.append(" ".join(w))
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+    similar = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
+    root, other, written = components_by_hand(len(texts), similar), {i: set() for i in range(len(texts))}, {}
+    for i, j in similar:
+        if sets[i] != sets[j]:
+            other[i].add(sets[j]), other[j].add(sets[i])
+
+    def watched(df, name, write=jaccard.materialize):
+        written[name] = (rows := write(df, name)).count()
+        return rows
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    monkeypatch.setattr(jaccard, "HOME_ROWS", 100)
+    got = {r.doc_id: r for r in jaccard.similarity_classes(docs(spark, texts)).collect()}
+    assert all(got[i].links <= len(other[i]) for i in got) and sum(r.links for r in got.values()) >= 0.99 * sum(map(len, other.values()))
+    assert all(got[i].copies == sum(s == sets[i] for s in sets) - 1 for i in got) and sum(got[i].class_id == root[i] for i in got) >= 0.98 * len(texts)
+    assert written["near"] < 0.15 * len(similar) and written["pairs"] < 0.15 * len(similar)
+    pairs = jaccard.jaccard_join(docs(spark, texts)).where("jaccard < 1").collect()
+    assert len(set(pairs)) == len(pairs) and all(abs(r.jaccard - len(sets[r.doc_a] & sets[r.doc_b]) / len(sets[r.doc_a] | sets[r.doc_b])) < 1e-9 for r in pairs)
+    nodes = {s: k for k, s in reversed(list(enumerate(sets)))}
+    want = {tuple(sorted((nodes[sets[i]], nodes[sets[j]]))) for i, j in similar if sets[i] != sets[j]}
+    assert {(r.doc_a, r.doc_b) for r in pairs} <= want and len(pairs) >= 0.99 * len(want)
+
+
 def test_similarity_classes_edges(spark, edge, empty):
     assert jaccard.similarity_classes(empty).count() == 0
     rows = jaccard.similarity_classes(edge).collect()

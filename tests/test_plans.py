@@ -62,6 +62,21 @@ def test_retrieval_ways_agree(spark):
     assert retrieve.search(c, q.limit(0)).count() == 0 and retrieve.search(c.limit(0), q).count() == 0
 
 
+def test_blocks_travel_without_copies(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(300, 8)), 1).astype(np.float32)
+    v[40:60], v[100] = v[3], 0  # equal vectors and one without a direction
+    c = spark.createDataFrame([(f"c{i:03d}", x.tolist()) for i, x in enumerate(v)], "chunk_id string, vec array<float>").repartition(5)
+    q = spark.createDataFrame([(f"q{i:03d}", v[i % 120].tolist()) for i in range(240)], "qid string, vec array<float>")
+    sims = np.round(v.astype(np.float64) @ v.astype(np.float64).T, 6)
+    best = [sorted(range(300), key=lambda j: (-sims[i, j], j))[:7] for i in range(120)]
+    # blocks of 40 chunks, so that lists go through several
+    found = retrieve.search(c, q, 7, group_rows=50, most_bytes=0, block_bytes=40 * 8 * 4)
+    assert {(r.qid, r["rank"]): (r.chunk_id, r.sim) for r in found.collect()} == {(f"q{i:03d}", n + 1): (f"c{j:03d}", sims[i % 120, j]) for i in range(240) for n, j in enumerate(best[i % 120])}
+    plan = found._jdf.queryExecution().toString()
+    assert "sequence(" not in plan  # neither side is repeated for the other's groups
+
+
 def test_one_bad_candidate_does_not_stop_the_rest(spark, monkeypatch):
     d = from_table(docs(spark, BODY, BODY.replace("Fact", "Note")))
     o = ChunkOptimizer(Config(safety=SafetyConstraints(max_chunks_per_doc=5)))

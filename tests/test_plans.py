@@ -77,6 +77,19 @@ def test_blocks_travel_without_copies(spark):
     assert "sequence(" not in plan  # neither side is repeated for the other's groups
 
 
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *rest: (made.append(f), real(self, f, *rest))[1])
+    C.parent_child(docs(spark, BODY))
+    texts = ["word " * 20000 + "end."] * 60  # 6 MB, many chunks each
+    batches = made[0](iter([pa.record_batch({"doc_id": [str(i) for i in range(60)], "text": texts})]))
+    sizes = [(b.num_rows, b.nbytes) for b in batches]
+    assert sum(n for n, _ in sizes) == 60 * len(S.parent_child("0", texts[0], (1000, 200))) and max(x for _, x in sizes) < 2 << 20
+
+
 def test_one_bad_candidate_does_not_stop_the_rest(spark, monkeypatch):
     d = from_table(docs(spark, BODY, BODY.replace("Fact", "Note")))
     o = ChunkOptimizer(Config(safety=SafetyConstraints(max_chunks_per_doc=5)))

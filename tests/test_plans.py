@@ -1,6 +1,7 @@
 """Tournaments, plans, adapters, the command line, streams and the kernels beside their expressions."""
 
 import json
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -90,6 +91,34 @@ def test_chunks_leave_in_small_batches(spark, monkeypatch):
     assert sum(n for n, _ in sizes) == 60 * len(S.parent_child("0", texts[0], (1000, 200))) and max(x for _, x in sizes) < 2 << 20
 
 
+def test_near_sets_share_a_signature(spark):
+    rng, sets = np.random.default_rng(8), []
+    for n in [1, 2, 5, 13, 40, 150, 600] * 20:
+        base = rng.integers(-(2**63), 2**63 - 1, n)
+        for drop in (0, n // 30, n // 8):
+            sets.append(np.unique(np.concatenate((base[drop:], rng.integers(-(2**63), 2**63 - 1, n // 40)))))
+    sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    for threshold in (0.6, 0.85, 0.95):
+        signature, owner = D.signatures(flat, sizes, threshold)
+        of = [set(signature[owner == k].tolist()) for k in range(len(sets))]
+        i, j, similarity = D.near_rows(flat, sizes, threshold)
+        assert len(i) > 100 and all(of[a] & of[b] for a, b in zip(i, j, strict=True))
+        assert all(s == len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a, b, s in zip(i[:50], j, similarity, strict=False))
+    texts = docs(spark, "one two three four five", "one two three four five", "x one two three four five", "a b", "").withColumnRenamed("id", "chunk_id")
+    for threshold in (0.5, 0.9):  # equal texts, near ones, and those without n-grams
+        pairs = D.jaccard_pairs(texts, D.word_ngrams(F.col("text")), threshold)
+        assert {(r.a, r.b) for r in pairs.collect()} == ({("0", "1"), ("0", "2"), ("1", "2")} if threshold == 0.5 else {("0", "1")})
+        whole = {(r.id, r.root) for r in D.jaccard_components(texts, D.word_ngrams(F.col("text")), threshold).collect()}
+        assert whole == {(r.id, r.root) for r in D.components(pairs).collect()}
+
+
+def test_shingles_take_no_walk_for_each(spark):
+    long = "äb" * 60_000 + "c\U0001f600d"  # a walk from the start for each character would take minutes
+    began = time.time()
+    got = spark.createDataFrame([(long,), ("ab",)], "text string").select(D.shingles(F.col("text")).alias("s")).collect()
+    assert set(got[0].s) == {long[k : k + 3] for k in range(len(long) - 2)} and got[1].s == [] and time.time() - began < 20
+
+
 def test_one_bad_candidate_does_not_stop_the_rest(spark, monkeypatch):
     d = from_table(docs(spark, BODY, BODY.replace("Fact", "Note")))
     o = ChunkOptimizer(Config(safety=SafetyConstraints(max_chunks_per_doc=5)))

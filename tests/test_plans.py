@@ -119,6 +119,25 @@ def test_shingles_take_no_walk_for_each(spark):
     assert set(got[0].s) == {long[k : k + 3] for k in range(len(long) - 2)} and got[1].s == [] and time.time() - began < 20
 
 
+def test_hashing_keeps_texts_in_their_tasks(spark):
+    from chunkspark.functions import vectors as V
+
+    d = spark.createDataFrame([(k, f"w{k} b a b. C w{k % 3} d. E") for k in range(40)] + [(50, None), (51, " "), (52, "x\x1cy z")], "id int, text string")
+    rows = V.hashing_sparse(d, "id", F.col("text"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    again = d.unionByName(d.where("id < 3"))  # rows with one id are one text
+    for df in (d, again):
+        named = df.withColumn("__text", F.col("text"))
+        want = {(r.id, r.idx, r.v) for r in V._sparse_shuffled(named, "id", F.col("text"), 256).collect()}
+        got = V.hashing_sparse(df, "id", F.col("text")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+        old = {(r.id, round(r.coherence, 9)) for r in Q._coherence_shuffled(df, "id", "text", 256).collect()}
+        assert {(r.id, round(r.coherence, 9)) for r in Q.embedding_coherence(df, "id").collect()} == old
+        hits = retrieve.search_sparse(*(V.hashing_sparse(x, "id", F.col("text")).withColumnRenamed("id", n) for x, n in ((df, "chunk_id"), (d.limit(9), "qid"))), 4)
+        rest = retrieve.search_common(*(V.hashing_dense(x, "id", F.col("text")).withColumnRenamed("id", n) for x, n in ((df, "chunk_id"), (d.limit(9), "qid"))), 4, block_bytes=4 * 256 * 8)
+        assert {tuple(r) for r in rest.collect()} == {tuple(r) for r in hits.collect()}
+
+
 def test_one_bad_candidate_does_not_stop_the_rest(spark, monkeypatch):
     d = from_table(docs(spark, BODY, BODY.replace("Fact", "Note")))
     o = ChunkOptimizer(Config(safety=SafetyConstraints(max_chunks_per_doc=5)))
